@@ -82,24 +82,24 @@ def _(t):
 
 
 @query("multimap_edit", """
-with p as (select user_id, event_type from events where event_id % 2 = 0 union all select user_id, event_type from events where event_id % 5 = 1),
-g as (select distinct user_id, event_type from events where event_id % 97 = 0), n as (select user_id, 'new' as event_type from events where event_id % 211 = 0)
+with p as (select user_id, event_type from events where event_type in ('click', 'view') union all select user_id, event_type from events where event_type = 'error'),
+g as (select distinct user_id, event_type from events where value > 99 and event_type = 'click'), n as (select user_id, 'new' as event_type from events where event_type = 'signup' and value > 99)
 select user_id, event_type from p where not exists (select 1 from g where g.user_id = p.user_id and g.event_type = p.event_type) and user_id not in (select user_id from n) union all select * from n""")
 def _(t):
     e = t.events
-    pairs = bags.multimap_add(e.where("event_id % 2 = 0").select("user_id", "event_type"), e.where("event_id % 5 = 1").select("user_id", "event_type"))
-    pairs = bags.multimap_remove(pairs, e.where("event_id % 97 = 0").select("user_id", "event_type").distinct(), ["user_id", "event_type"])
-    return bags.multimap_replace(pairs, e.where("event_id % 211 = 0").select("user_id", F.lit("new").alias("event_type")), "user_id")
+    pairs = bags.multimap_add(e.where("event_type in ('click', 'view')").select("user_id", "event_type"), e.where("event_type = 'error'").select("user_id", "event_type"))
+    pairs = bags.multimap_remove(pairs, e.where("value > 99 and event_type = 'click'").select("user_id", "event_type").distinct(), ["user_id", "event_type"])
+    return bags.multimap_replace(pairs, e.where("event_type = 'signup' and value > 99").select("user_id", F.lit("new").alias("event_type")), "user_id")
 
 
 @query("bimap_put", """
-with p as (select l_partkey as k, l_suppkey as v, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) as o from lineitem where l_orderkey % 7 = 0)
-select k, v, o from p where not exists (select 1 from p q where q.o > p.o and (q.k = p.k or q.v = p.v))""")
+with p as (select l_partkey as k, l_suppkey as v, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) as o from lineitem),
+r as (select *, row_number() over (partition by k order by o desc) as a, row_number() over (partition by v order by o desc) as b from p)
+select k, v, o from r where a = 1 and b = 1""")
 def _(t):
     from tessera.plans.order import global_index
 
-    p = t.lineitem.where("l_orderkey % 7 = 0")
-    p = global_index(p, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"], "o")
+    p = global_index(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"], "o")
     return bags.bimap(p.select(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("v"), (F.col("o") + 1).alias("o")), "k", "v", order_by="o")
 
 

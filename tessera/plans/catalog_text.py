@@ -35,9 +35,9 @@ def _(t):
     return t.part.select("p_partkey", text.upper_first(F.col("p_name")).alias("first"), text.convert_last(F.col("p_name"), F.upper, 2).alias("last"), text.lower_first(F.col("p_brand")).alias("lowered"))
 
 
-@query("text_indent", "select doc_id, array_to_string([case when x = '' then '' else '> ' || x end for x in [trim(y) for y in string_split(text, chr(10))]], chr(10)) as out from documents where doc_id % 2 = 0")
+@query("text_indent", "select doc_id, array_to_string([case when x = '' then '' else '> ' || x end for x in [trim(y) for y in string_split(text, chr(10))]], chr(10)) as out from documents")
 def _(t):
-    return _docs(t).where("doc_id % 2 = 0").select("doc_id", text.indent(S, "> ").alias("out"))
+    return _docs(t).select("doc_id", text.indent(S, "> ").alias("out"))
 
 
 @query("text_dedent", "select doc_id, text as out from documents")
@@ -66,9 +66,9 @@ def _(t):
     return t.part.select("p_partkey", *[v.alias(k) for k, v in f.items()])
 
 
-@query("text_unwrap", "select doc_id, array_to_string([replace(p, chr(10), ' ') for p in string_split_regex(text, '\\n(?:[^\\S\\n]*\\n)+')], chr(10) || chr(10)) as out from documents where doc_id % 3 = 0")
+@query("text_unwrap", "select doc_id, array_to_string([replace(p, chr(10), ' ') for p in string_split_regex(text, '\\n(?:[^\\S\\n]*\\n)+')], chr(10) || chr(10)) as out from documents")
 def _(t):
-    return _docs(t).where("doc_id % 3 = 0").select("doc_id", text.unwrap(S).alias("out"))
+    return _docs(t).select("doc_id", text.unwrap(S).alias("out"))
 
 
 @query("text_wrap")
@@ -107,10 +107,10 @@ def _(t):
 
 
 @query("chars_count_edit", r"""select doc_id, cast(len(regexp_extract_all(text, '[aeiou]')) as integer) as vowels, regexp_replace(text, '[aeiou]', '', 'g') as removed, regexp_replace(text, '[^a-z]', '', 'g') as kept,
- regexp_replace(text, '[\t-\r ]+', '_', 'g') as collapsed, regexp_replace(text, '[0-9]', '$', 'g') as replaced from documents where doc_id % 2 = 1""")
+ regexp_replace(text, '[\t-\r ]+', '_', 'g') as collapsed, regexp_replace(text, '[0-9]', '$', 'g') as replaced from documents""")
 def _(t):
     v = cc.char_set("aeiou")
-    return _docs(t).where("doc_id % 2 = 1").select("doc_id", v.count(S).alias("vowels"), v.remove(S).alias("removed"), cc.LOWER.retain(S).alias("kept"), cc.WHITESPACE.collapse(S, "_").alias("collapsed"), cc.DIGIT.replace(S, "$").alias("replaced"))
+    return _docs(t).select("doc_id", v.count(S).alias("vowels"), v.remove(S).alias("removed"), cc.LOWER.retain(S).alias("kept"), cc.WHITESPACE.collapse(S, "_").alias("collapsed"), cc.DIGIT.replace(S, "$").alias("replaced"))
 
 
 @query("chars_find", r"""select p_partkey, case when regexp_matches(p_name, '[m-z]') then length(regexp_extract(p_name, '^[^m-z]*')) else -1 end as first, case when regexp_matches(p_name, '[m-z]') then length(p_name) - 1 - length(regexp_extract(p_name, '[^m-z]*$')) else -1 end as last,
