@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import sequence as seq
-from tessera.plans import catalog_bags, catalog_graph, catalog_math, catalog_ordering, catalog_sequence, catalog_text, catalog_time  # noqa: F401
+from tessera.plans import catalog_bags, catalog_graph, catalog_math, catalog_misc, catalog_ordering, catalog_sequence, catalog_text, catalog_time  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
