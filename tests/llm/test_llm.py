@@ -1,0 +1,401 @@
+"""The training-data operators against brute force, and their defined results for odd inputs."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+pytest.importorskip("tessera.llm")
+P = pytest.importorskip("public_tokenizers")
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tessera.llm import components, embed_dedup, langid, minhash, mixing, packing, pii, quality_model, quality_rules, toxicity  # noqa: E402
+from tessera.llm.queries import QUERIES  # noqa: E402
+from tessera.llm.token_count import token_counts  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+ODD = [None, "", " \t\n ", "a", "\n\n\n", "###!!!", "x" * 5000, "word " * 3000, "é   \U0001f600 <|endoftext|> It's  two  spaces"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, repeated rows, null keys' columns, and extra columns whose names clash."""
+    rows = [(i, t, "en", None, 0, "x") for i, t in enumerate(ODD)] + [(3, "a", "en", None, 0, "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, TEXT string")
+
+
+def none(df):
+    return df.limit(0)
+
+
+# -- 1, 10: tokens ------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def word_bpe():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
+
+
+@pytest.fixture(scope="module")
+def byte_bpe():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+def test_token_counts(docs, odd, word_bpe):
+    for df in (docs, odd):
+        own = [(r[0], r[1]) for r in df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select("c0", "c1").collect()]
+        want = sorted((d, len((t or "").encode()), n := len(word_bpe.encode(t or "", add_special_tokens=False).ids), n > 2048) for d, t in own)
+        got = sorted(tuple(r) for r in token_counts(df, P.path("word_bpe_49k.json"), entries=500).collect())
+        assert got == want
+    assert token_counts(none(odd), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_byte_encoder_equals_tokenizer(byte_bpe):
+    encode, rng = packing.ByteEncoder(P.path("byte_bpe_50k.json"), bound=50), random.Random(1)
+    parts = [*"ab  \n\t'sèé1²½|<>._", "<|endoftext|>", "'ll", " the", " ", " ", "\r\n", "ſ", "İ"]
+    for _ in range(3000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert encode(s.encode()) == np.array(byte_bpe.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), s
+
+
+def test_packing(docs, odd, byte_bpe):
+    for df in (docs, odd):
+        own = [(r[0], r[1]) for r in df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select("c0", "c1").collect()]
+        rows = packing.pack(packing.pieces(df, P.path("byte_bpe_50k.json"))).collect()
+        want = []
+        for d, t in own:
+            ids = np.array([*byte_bpe.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+            first = (len(ids) - 1) % 1024 + 1
+            cuts = [0, *range(first, len(ids) + 1, 1024)]
+            want += [(d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
+        bins = {}
+        for r in rows:
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for held in bins.values():
+            at = 0
+            for offset, length in sorted(held):
+                assert offset == at
+                at += length
+            assert at <= 1024
+        total = sum(r["length"] for r in rows)
+        assert len(bins) <= 1.02 * total / 1024 + 2
+    assert packing.pack(packing.pieces(none(odd), P.path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_best_two_fit():
+    assert packing.plan({6: 1, 3: 1, 2: 2}, 10) == [(1, [6, 2, 2])] + [(1, [3])]  # 6 + 3 leaves 1: 3 gives way to 2 + 2
+    rng = random.Random(2)
+    for _ in range(50):
+        histogram = {k: rng.randint(1, 50) for k in rng.sample(range(1, 65), rng.randint(1, 20))}
+        used = Counter()
+        for times, filled in packing.plan(histogram, 64):
+            assert sum(filled) <= 64
+            for k in filled:
+                used[k] += times
+        assert used == Counter(histogram)
+
+
+# -- 2, 6, 8: classifiers ---------------------------------------------------------------
+
+
+def test_segmentation_sums_over_all():
+    pieces = ["a", "ab", "b", "ba"]
+    segment = langid.Segmenter(pieces)
+    p = np.array([0.3, 0.2, 0.4, 0.1, 0.0, 0.0])[:, None]
+    prob = dict(zip(pieces, p[:, 0]))
+
+    def total(w):
+        return 1.0 if not w else sum(prob.get(w[:k], 0) * total(w[k:]) for k in range(1, len(w) + 1))
+
+    for w in ("a", "ab", "abab", "bbaab"):
+        assert math.isclose(langid.forward(segment.ids([w], len(w)), p)[0, -1, 0], total(w))
+
+
+def test_language_id(spark, docs, odd):
+    model = langid.fit(docs, P.path("piece_bpe_32k.model"))
+    rows = langid.languages(docs, model).collect()
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.95
+    got = {(r["doc_id"]): (r["lang_pred"], r["score"]) for r in langid.languages(odd, model).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (0, 1, 2, 4, 5)) and got[3][0] != "und"
+    assert langid.languages(odd, langid.fit(none(odd), P.path("piece_bpe_32k.model"))).where("lang_pred <> 'und'").count() == 0
+
+
+def _auc(scores, y):
+    pos, neg = scores[y == 1], scores[y == 0]
+    return np.mean(pos[:, None] > neg[None, :]) + 0.5 * np.mean(pos[:, None] == neg[None, :])
+
+
+@pytest.mark.parametrize("kind", ["quality", "toxic"])
+def test_classifiers(spark, odd, kind):
+    d, l = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    module, score = (quality_model, quality_model.quality_scores) if kind == "quality" else (toxicity, toxicity.toxicity_scores)
+    model = module.fit(d, l)
+    got = {r["doc_id"]: r for r in score(d, model).collect()}
+    folds = (5, 0) if kind == "quality" else (4, 2)
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % folds[0] == folds[1]) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for k, r in got.items())
+    held = [(got[r["doc_id"]]["score"], r[kind]) for r in l.collect() if got[r["doc_id"]]["held_out"]]
+    assert _auc(*map(np.array, zip(*held))) > 0.85
+    assert score(odd, model).count() == len(ODD) + 1
+    module.fit(d, none(l))  # no labels: still a model
+    assert score(d, module.fit(d, none(l))).where("score is null").count() == 0
+
+
+def test_isotonic_and_descent():
+    x, y = np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1])
+    assert toxicity.isotonic(x, y)[1].tolist() == [0.0, 0.5, 1.0]
+    rows = [(np.array([0]), np.array([1.0])), (np.array([0]), np.array([-1.0]))]
+    w = quality_model.dual_descent(rows, np.array([1.0, -1.0]), 1, cost=10.0)
+    assert math.isclose(w[0], 1.0, abs_tol=1e-6)
+
+
+# -- 3, 7: near-duplicates -------------------------------------------------------------
+
+
+def _components(n, links):
+    label = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(label[a], label[b])
+            if label[a] != m or label[b] != m:
+                label[a] = label[b] = m
+                changed = True
+    return label
+
+
+def test_components_of_paths_and_stars(spark):
+    links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}}
+
+
+def test_embedding_near_dedup(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((120, 16))
+    rows = [(i, base[i % 120] + rng.normal(0, 0.12, 16), int(i % 120) % 3) for i in range(500)]
+    rows += [(500 + i, base[0], 0) for i in range(60)]
+    data = [(i, [float(x) for x in v], l) for i, v, l in rows]
+    data += [(600, None, 0), (601, [0.0] * 16, 0), (602, [float("nan")] * 16, 0), (603, [float(x) for x in base[0]], None), (604, [1.0, None], 0), (605, [float("inf")] + [0.0] * 15, 0), (606, [], 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    x = np.array([v for _, v, _ in data[:560]])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([l for _, _, l in data[:560]])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    want = _components(560, np.argwhere(near).tolist())
+    for block in (1024, 16):  # as one block, and dealt as pairs of blocks
+        got = {r["vec_id"]: r for r in embed_dedup.near_vectors(df, block=block).collect()}
+        found = sum(got[i]["n_links"] for i in range(560))
+        assert 0.98 * near.sum() <= found <= near.sum()
+        assert np.mean([got[i]["component_id"] == want[i] for i in range(560)]) > 0.98
+        assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(600, 607))
+        assert all(got[i]["component_id"] == got[500]["component_id"] and got[i]["n_links"] >= 59 for i in range(500, 560))
+    assert embed_dedup.near_vectors(none(df)).count() == 0
+
+
+def _shingles(t):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    w = low.encode().split()
+    return set(zip(*(w[i:] for i in range(5)))) if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def _exact(texts):
+    sets = [_shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return sets, _components(len(sets), links)
+
+
+def test_minhash_near_dedup(spark, docs):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choices(words, k=60) for _ in range(12)]
+    texts = []
+    for i in range(260):
+        t = list(base[i % 12])
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(60)] = rng.choice(words)
+        texts.append(" ".join(t))
+    texts += ["One two", "one TWO", "", None, "   ", texts[0], texts[0].upper()]
+    texts += [r["text"] for r in docs.collect()]
+    sets, want = _exact(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (1024, 8):
+        got = {r["doc_id"]: r for r in minhash.near_documents(df, block=block).collect()}
+        assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+        assert [got[i]["component_id"] for i in range(len(texts))] == want
+        assert all(got[i]["kept"] == (want[i] == i) for i in range(len(texts)))
+    assert minhash.near_documents(none(df)).count() == 0
+
+
+def test_pigeonhole_finds_all_pairs_under_the_distance():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 16, minhash.SLOTS, dtype=np.uint16)
+        b = a.copy()
+        wrong = rng.choice(minhash.SLOTS, minhash.MOST_DIFFERENT, replace=False)
+        b[wrong] ^= np.uint16(1)
+        k = minhash.keys(np.stack([a, b]))
+        assert (k[0] == k[1]).any()
+
+
+# -- 4: rules --------------------------------------------------------------------------
+
+
+def test_quality_rules(docs, odd):
+    import re
+
+    for df in (docs, odd):
+        own = [(r[0], r[1]) for r in df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select("c0", "c1").collect()]
+        got = sorted((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules.ledger(df).collect())
+        want = []
+        for d, t in own:
+            w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+            seen, dup = set(), 0
+            for line in (t or "").split("\n"):
+                if re.search(r"[^\x20\x09-\x0D]", line):
+                    dup += line in seen
+                    seen.add(line)
+            windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+            hit = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+            want.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(hit)))
+        assert got == sorted(want)
+    entries = quality_rules.ledger(docs)
+    out = quality_rules.apply_policy(entries)
+    assert out.where("kept and n_words < 10").count() == 0
+    rejected = {r["rule"]: r for r in quality_rules.ablations(entries).collect()}
+    assert rejected["too_few_words"]["rejected"] == entries.where("n_words < 10").count()
+    assert out.where("not kept").count() <= sum(r["rejected"] for r in rejected.values())
+
+
+# -- 5: personal data --------------------------------------------------------------------
+
+
+def test_surrogates(spark, odd):
+    texts = [
+        "Mail Bob.X@mail7.example.com or bob.x@MAIL7.example.com, +1 (017) 555-7713 or +1 017 555 7713.",
+        'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" card 4111 1111 1111 1111 and 4111-1111-1111-1111, 97.51.17.173',
+        "Mr. Adam Bell met Mrs Bell; г-н Иван Петров. SSN 123-45-6789",
+        "Nothing private: version 1.2.3.4.5 in 2024, 12 items.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in pii.pseudonymise(df, "k", "n").collect()}
+    assert got[3] == (texts[3], 0) and [got[i][1] for i in range(3)] == [4, 4, 4]
+    first = got[0][0].split()
+    assert first[1].lower() == first[3].rstrip(",").lower() and "bob" not in got[0][0].lower() and "555-7713" not in got[0][0]
+    assert "04dbebab" not in got[1][0] and "4111" not in got[1][0] and "97.51.17.173" not in got[1][0]
+    import re
+
+    a, b = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", got[1][0])
+    assert a.replace(" ", "") == b.replace("-", "") and " " in a and "-" in b
+    digits = [int(c) for c in a if c.isdigit()][::-1]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    names = re.match(r"Mr\. (\S+) (\S+) met Mrs (\S+); г-н (\S+) (\S+)\.", got[2][0])
+    assert names and names[2] == names[3] != "Bell" and names[1] in pii.GIVEN["latin", "m"].split() and names[4] in pii.GIVEN["cyrillic", "m"].split()
+    assert sorted(map(str, pii.pseudonymise(df, "k").collect())) == sorted(map(str, pii.pseudonymise(df, "k").collect()))
+    clean = odd.select("doc_id", "lang", "n_chars").withColumn("text", F.lit(None).cast("string"))
+    assert pii.pseudonymise(clean, "k").count() == len(ODD) + 1 and pii.pseudonymise(none(clean), "k").count() == 0
+
+
+def test_surrogates_are_distinct(spark):
+    rows = [("ssn", f"{i:09d}") for i in range(3000)] + [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = pii.surrogates(spark.createDataFrame(rows, "kind string, normal string"), "k").collect()
+    assert len(out) == len(rows) == len({(r["kind"], r["core"]) for r in out})
+    assert not {(r["kind"], r["core"]) for r in out} & set(rows)
+
+
+# -- 9: mixing -----------------------------------------------------------------------------
+
+
+def _targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, out, open_ = 1.5 * sum(sizes.values()), {}, set(order)
+    while open_:
+        level = (total - sum(out.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        if not full:
+            return out | {s: level * weight[s] for s in open_}
+        out |= {s: 2.0 * sizes[s] for s in full}
+        open_ -= full
+    return out
+
+
+def test_mixing(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", "c", "d", None, "a", "a"]), rng.choice([0, 1, 5, 300, 4000])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out, plan = mixing.mix(df, block=64)
+    got = out.collect()
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    want, taken = _targets(dict(sizes)), Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[r["source"]]
+        assert math.isclose(r["target"], want[r["source"]], rel_tol=1e-9)
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    assert {(r["doc_id"], r["taken"]) for r in got} == {(r["doc_id"], r["taken"]) for r in mixing.mix(df, block=64)[0].collect()}
+    half = plan.where(F.col("slot") < plan.count() // 2).groupBy("source").count().collect()
+    total = sum(want.values())
+    assert all(abs(r["count"] - want[r["source"]] / total * plan.count() / 2) < 8 for r in half)  # any prefix holds the weights
+    assert mixing.mix(none(df))[0].count() == 0
+
+
+def test_mixed_documents_hold_the_taken_words(spark, docs):
+    out, _ = mixing.mix(mixing.sized(docs))
+    want = {r["doc_id"]: r["taken"] for r in out.collect() if r["taken"]}
+    rows = mixing.mixed_documents(docs)
+    assert rows.columns == docs.columns
+    got = Counter()
+    for r in rows.collect():
+        got[r["doc_id"]] += len((r["text"] or "").encode().split())
+    assert got == Counter(want)
+
+
+# -- the pipeline and the registry --------------------------------------------------------
+
+
+def test_pipeline(spark, docs):
+    import corpus_pipeline as pipeline
+
+    kept = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, kept, SF)
+        assert after.columns == docs.columns, name
+        rows = after.collect()
+        if name == "language ID":
+            assert 0.9 * docs.count() <= len(rows) <= docs.count()
+        elif name == "MinHash near-dedup":
+            _, want = _exact([r["text"] for r in sorted(kept.collect(), key=lambda r: r["doc_id"])])
+            assert len(rows) == len(set(want))
+        elif name == "PII":
+            assert len(rows) == kept.count() and not any("@mail" in (r["text"] or "") for r in rows)
+        kept = spark.createDataFrame(rows, docs.schema)
+    packed = pipeline.STAGES[-1][1](spark, kept, SF)
+    assert packed.agg(F.sum("length")).first()[0] >= kept.count()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_return_a_row_for_each(spark, docs, name):
+    df = QUERIES[name](spark, SF)
+    n = 500 if "embedding" in name else docs.count()
+    assert df.count() == n or name.startswith("op10") and df.select("doc_id").distinct().count() == n
