@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import oracles
+
 
 #: The key of the surrogates; in production a secret from the caller's own store.
 SURROGATE_KEY = "documents"
@@ -100,4 +102,4 @@ _OPERATORS = (
     op10_best_fit_packing,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
-SQL: dict[str, str] = {}
+SQL = oracles.SQL
