@@ -206,7 +206,7 @@ def _(t):
 
 @query("graph_path_cost")
 def _(t):
-    g = _net(t)
+    g = _trade(t)
     first = g.vertices.agg(F.min("id").alias("id"))
     paths = gr.shortest_paths(g, first, targets=g.vertices.agg(F.max("id").alias("id")))
     route = gr.path_to(paths, g.vertices.agg(F.max("id")).first()[0])
@@ -254,7 +254,7 @@ def _(t):
 
 @query("graph_max_flow")
 def _(t):
-    g = _net(t)
+    g = _trade(t).where(edge=F.col("src") != F.col("dst"))
     ends = g.vertices.agg(F.min("id"), F.max("id")).first()
     return t.spark.range(1).select(F.lit(float(gr.max_flow(g, ends[0], ends[1]))).alias("flow"))
 
