@@ -29,12 +29,16 @@ SLOTS, BITS, CHUNKS = 30, 16, 6
 MOST_DIFFERENT = 17
 PER_CHUNK = SLOTS // CHUNKS
 IN_ERROR = MOST_DIFFERENT // CHUNKS
+#: Of 1024 minima of 4 bits, 240 differ at a similarity of 0.75, with a deviation of 13.6: more than
+#: SKETCH_DIFFERENT in 2 of 100,000 pairs.
+SKETCH, SKETCH_DIFFERENT = 1024, 296
 #: Rows of a block; a bucket of more rows is dealt as pairs of blocks.
 BLOCK = 1024
 BROADCAST_ROWS = 20_000
 
 _MASK = (1 << 64) - 1
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH_SEEDS = np.random.default_rng(77).integers(0, 1 << 32, (2, SKETCH), dtype=np.uint32)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(SHINGLE)]
 
 
@@ -79,6 +83,25 @@ def signature(found: np.ndarray) -> bytes:
     return slots.tobytes()
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """SKETCH more minima, 4 bits of each, two to a byte: a sharper estimate, for the pairs that the signatures leave."""
+    if not len(found):
+        return bytes(SKETCH // 2)
+    h = (found >> np.uint64(32)).astype(np.uint32)
+    out = np.empty(SKETCH, np.uint8)
+    for k in range(0, SKETCH, 32):
+        x = (h[None, :] ^ _SKETCH_SEEDS[0, k : k + 32, None]) * (_SKETCH_SEEDS[1, k : k + 32, None] | np.uint32(1))
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x85EBCA6B)
+        out[k : k + 32] = x.min(axis=1) & np.uint32(15)
+    return (out[0::2] << 4 | out[1::2]).tobytes()
+
+
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    two = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH // 2)
+    return np.concatenate([two >> 4, two & 15], axis=1)
+
+
 def keys(sig: np.ndarray) -> np.ndarray:
     """The index keys of signatures (n, SLOTS): for each chunk, its slots without each set of slots in error."""
     out = []
@@ -119,25 +142,26 @@ def sketches(docs: DataFrame) -> DataFrame:
     return map_rows(rows, make, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, s): the full shingle sets of the wanted documents."""
+def _again(docs: DataFrame, wanted: DataFrame, make_value, kind: str) -> DataFrame:
+    """(id, s): a value of the full shingle sets of the wanted documents, read again from their texts."""
 
     def make():
         words = _Words()
 
         def step(cols):
-            return cols[0], [shingles(t, words).view(np.int64) for t in cols[1]]
+            return cols[0], [make_value(shingles(t, words)) for t in cols[1]]
 
         return step
 
-    rows = pick(docs, "doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    # A repeated doc_id may hold different texts; a set stands for one class only and is found by its identity below.
-    return map_rows(rows.select("doc_id", F.col("text").cast("binary").alias("text")), make, "id long, s array<bigint>")
+    rows = pick(docs, "doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # A repeated doc_id stands once.
+    return map_rows(rows.select("doc_id", F.col("text").cast("binary").alias("text")), make, f"id long, s {kind}").dropDuplicates(["id"])
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives whose full sets are similar enough."""
-    sets = materialise(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()).dropDuplicates(["id"]))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    sets = materialise(_again(docs, ids, lambda s: s.view(np.int64), "array<bigint>"))
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -163,8 +187,8 @@ def _expanded(classes: DataFrame) -> DataFrame:
     return map_rows(classes.select("id", "sig"), make, "id long, key long")
 
 
-def _within(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures (i, sig) lie within the distance."""
+def _within(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets' sizes allow the similarity and whose signatures (i, n, sig) lie within the distance."""
 
     def make():
         def step(cols):
@@ -176,63 +200,110 @@ def _within(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
         return step
 
-    met = pairs.join(signed.select(F.col("i").alias("a"), F.col("sig").alias("sa")), "a").join(signed.select(F.col("i").alias("b"), F.col("sig").alias("sb")), "b")
+    x = signed.select(F.col("i").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    y = signed.select(F.col("i").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    met = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return map_rows(met.select("a", "b", "sa", "sb"), make, "a long, b long")
 
 
-def _apart(rows: DataFrame, block: int) -> DataFrame:
-    """(a, b): pairs of a bucket that lie in different components, within the distance, each once.
-
-    ``rows``: key, id, comp, sig.  A pair is written where its first shared key is.
+def _distances(sig: np.ndarray, x: int, among: slice | np.ndarray) -> np.ndarray:
+    return (sig[among] != sig[x]).sum(axis=1)
+
+
+def _closest(ids, comp, n, sig, percent: int):
+    """(a, b): a forest of smallest distances over a bucket's components, by Prim's algorithm."""
+    far = SLOTS + 1
+    best, parent = np.full(len(ids), far), np.full(len(ids), -1)
+    open_ = np.ones(len(ids), bool)
+    for _ in range(len(ids)):
+        v = int(np.where(open_, best, far + 1).argmin())
+        open_[v] = False
+        if 0 < best[v] <= MOST_DIFFERENT + 1:  # 0 stands for one component, others are raised by 1
+            yield int(ids[parent[v]]), int(ids[v])
+        d = _distances(sig, v, slice(None)) + 1
+        d[100 * np.minimum(n, n[v]) < percent * np.maximum(n, n[v])] = far
+        d[comp == comp[v]] = 0
+        nearer = open_ & (d < best)
+        best[nearer], parent[nearer] = d[nearer], v
+
+
+def _all_apart(key, i, j, mine, ids, comp, n, sig, more, percent: int):
+    """(a, b): all pairs of different components within the distances whose first shared key is this one."""
+    order = np.argsort(n, kind="stable")
+    mine, ids, comp, n, sig, more = mine[order], ids[order], comp[order], n[order], sig[order], more[order]
+    own = keys(sig)
+    end = np.searchsorted(n, n * 100 // percent, side="right")
+    for x in range(len(ids) - 1):
+        y = np.arange(x + 1, end[x])
+        y = y[(comp[y] != comp[x]) & ((i == j) | (mine[y] != mine[x]))]
+        y = y[_distances(sig, x, y) <= MOST_DIFFERENT]
+        if len(y):
+            y = y[own[x][(own[y] == own[x]).argmax(axis=1)] == key]
+        y = y[_distances(more, x, y) <= SKETCH_DIFFERENT] if len(y) else y
+        for z in y:
+            yield int(ids[x]), int(ids[z])
+
+
+def _apart(rows: DataFrame, percent: int, closest: bool, block: int) -> DataFrame:
+    """(a, b): pairs of a bucket that lie in different components, within the distance.
+
+    ``rows``: key, id, comp, n, sig and, for all pairs, the sketch s.  With ``closest`` only a spanning forest of
+    each bucket; else all, each written where its first shared key is.  A bucket
+    of more than ``block`` rows is dealt as pairs of blocks, for the forest as
+    blocks with their neighbours.
     """
-    large = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col("key").alias("_k"), F.ceil(F.col("n") / block).alias("blocks")))
+    large = materialise(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > block).select(F.col("key").alias("_k"), F.ceil(F.col("c") / block).alias("blocks")))
     few = large.count() <= BROADCAST_ROWS
     spread = rows.join(F.broadcast(large) if few else large, F.col("key") == F.col("_k"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spread = spread.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "comp", "sig")
+    spread = spread.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    if closest:
+        others = F.array_distinct(F.array("mine", (F.col("mine") + 1) % F.col("blocks"), F.pmod(F.col("mine") - 1, F.col("blocks"))))
+    spread = spread.withColumn("other", F.explode(others))
+    spread = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "comp", "n", "sig", *([] if closest else ["s"]))
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
         import pyarrow as pa
 
-        def settle(key, rows):
-            comp = np.array([r["comp"] for r in rows])
-            if (comp == comp[0]).all():
+        def settle(at, held):
+            ids, comp, n, mine = (np.array([r[c] for r in held]) for c in ("id", "comp", "n", "mine"))
+            if len(held) < 2 or (comp == comp[0]).all():
                 return
-            ids = np.array([r["id"] for r in rows])
-            sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u2").reshape(-1, SLOTS)
-            mine = np.array([r["mine"] for r in rows])
-            own = keys(sig)
-            for x in range(len(rows) - 1):
-                y = x + 1 + np.flatnonzero((comp[x + 1 :] != comp[x]) & ((mine[x + 1 :] != mine[x]) | (rows[0]["i"] == rows[0]["j"])))
-                y = y[(sig[y] != sig[x]).sum(axis=1) <= MOST_DIFFERENT] if len(y) else y
-                if len(y):
-                    first = own[y] == own[x]
-                    y = y[own[x][first.argmax(axis=1)] == key]
-                for z in y:
-                    yield min(int(ids[x]), int(ids[z])), max(int(ids[x]), int(ids[z]))
-
-        at, held, out = None, [], []
-
-        def flush():
+            sig = np.frombuffer(b"".join(r["sig"] for r in held), "<u2").reshape(-1, SLOTS)
+            if closest:
+                yield from _closest(ids, comp, n, sig, percent)
+            else:
+                more = unpacked([r["s"] for r in held])
+                yield from _all_apart(*at, mine, ids, comp, n, sig, more, percent)
+
+        def buckets():
+            at, held = None, []
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1000):
+                    for r in batch.slice(start, 1000).to_pylist():
+                        k = (r["key"], r["i"], r["j"])
+                        if k != at:
+                            if held:
+                                yield at, held
+                            at, held = k, []
+                        held.append(r)
+            if held:
+                yield at, held
+
+        def flush(out):
             a, b = zip(*out)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                k = (r["key"], r["i"], r["j"])
-                if k != at:
-                    if len(held) > 1:
-                        out += settle(at[0], held)
-                    at, held = k, []
-                held.append(r)
-            if len(out) > 5000:
-                yield flush()
-                out = []
-        if len(held) > 1:
-            out += settle(at[0], held)
+        out = []
+        for at, held in buckets():
+            for a, b in settle(at, held):
+                out.append((a, b) if a < b else (b, a))
+                if len(out) >= 5000:
+                    yield flush(out)
+                    out = []
         if out:
-            yield flush()
+            yield flush(out)
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -249,23 +320,27 @@ def near_documents(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> Da
     some = rows.where("sig is not null")
     classes = materialise(some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")))
     # A class is known by the smallest doc_id in it; should texts share a doc_id, by the first of their classes.
-    reps = classes.groupBy(F.col("rep").alias("id")).agg(F.min_by("sig", F.struct("n_shingles", "h1", "h2")).alias("sig"))
-    index = materialise(_expanded(reps))
-    shared = materialise(index.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1").select(F.col("key").alias("k"), "low"))
+    reps = classes.groupBy(F.col("rep").alias("id")).agg(F.min_by(F.struct(F.col("n_shingles").alias("n"), "sig"), F.struct("n_shingles", "h1", "h2")).alias("s")).select("id", "s.n", "s.sig")
+    index = _expanded(reps)
+    shared = index.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).where("c > 1").select(F.col("key").alias("k"), "low")
     members = materialise(index.join(shared, F.col("key") == F.col("k")).select("key", "id", "low"))
-    discard(index)
-    discard(shared)
+    signed = materialise(reps.select(F.col("id").alias("i"), "n", "sig"))
+    # First each class with the smallest of its buckets, then the closest across what is still apart.
     close = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    signed = reps.select(F.col("id").alias("i"), "sig")
-    stars = materialise(_within(close, signed))
-    first = _confirmed(docs, stars, percent)
-    comp = materialise(components(first))
-    placed = members.join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-    rest = placed.join(mixed, F.col("key") == F.col("k"), "left_semi").join(signed, F.col("id") == F.col("i")).select("key", "id", "comp", "sig")
-    left = materialise(_apart(materialise(rest), block).join(stars, ["a", "b"], "left_anti"))
-    second = _confirmed(docs, left, percent)
-    links = first.unionAll(second)
+    seen = materialise(_within(close, signed, percent))
+    links = _confirmed(docs, seen, percent)
+    rest = None
+    for closest in (True, False):
+        comp = materialise(components(links))
+        placed = members.join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+        rest = materialise(placed.join(mixed, F.col("key") == F.col("k"), "left_semi").join(signed, F.col("id") == F.col("i")).select("key", "id", "comp", "n", "sig"))
+        if not closest:
+            sketched = materialise(_again(docs, rest.select("id"), sketch, "binary"))
+            rest = rest.join(sketched, "id")
+        found = materialise(_apart(rest, percent, closest, block).distinct().join(seen, ["a", "b"], "left_anti"))
+        links = links.unionAll(_confirmed(docs, found, percent))
+        seen = seen.unionAll(found)
     whole = components(links)
     known = classes.join(whole, F.col("rep") == F.col("node"), "left").select(F.col("n_shingles").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(known, (F.col("n_shingles") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & F.col("sig").isNotNull(), "left")
