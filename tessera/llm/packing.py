@@ -64,6 +64,9 @@ class ByteEncoder:
 
     _ODD = tuple(b" " + c for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) + (b"<|", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
+    #: ASCII marks other than the apostrophe, which may start a pre-token of letters.
+    _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
     def __init__(self, path: str, bound: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
@@ -75,18 +78,27 @@ class ByteEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
         self._shown = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
-        self._cache = Recent(self._spaced, bound)
+        # Ids of runs after a space, and of runs at the start of a line or after letters.
+        self._cache = Recent(lambda run: self._ids(run, b" "), bound)
+        self._bare = Recent(lambda run: self._ids(run, b""), bound // 4)
+        self._newline = self.whole(b"\n")
 
     def whole(self, text: bytes) -> bytes:
         return _packed(self._all.encode(text.decode(), add_special_tokens=False).ids)
 
-    def _spaced(self, run: bytes) -> bytes:
-        text = run.decode()
-        if text.isalpha() and max(text) < "\u0250":  # a single pre-token
-            return _packed([t.id for t in self._model.tokenize((b" " + run).decode("latin-1").translate(self._shown))])
-        if run[-1:] in (b",", b".") and text[:-1].isalpha():  # and the mark one of its own
-            return self._cache[run[:-1]] + self.whole(run[-1:])
-        return self.whole(b" " + run)
+    def _ids(self, run: bytes, before: bytes) -> bytes:
+        """Ids of a run without spaces, cut further where a pre-token surely ends."""
+        known = self._cache if before else self._bare
+        head, mark, tail = run.partition(b"\n")
+        if mark and head and tail and not head[-1:].isspace() and not tail[:1].isspace():  # one line feed between others
+            return known[head] + self._newline + self._bare[tail]
+        word = run.rstrip(self._MARKS)
+        text = word.decode(errors="replace")
+        if text.isalpha() and max(text) < "\u0250":
+            if len(word) < len(run):  # letters, then marks
+                return known[word] + self._bare[run[len(word) :]]
+            return _packed([t.id for t in self._model.tokenize((before + word).decode("latin-1").translate(self._shown))])
+        return self.whole(before + run)
 
     def __call__(self, text: bytes | None) -> bytes:
         if not text:
@@ -94,7 +106,7 @@ class ByteEncoder:
         if text[-1:] == b" " or any(odd in text for odd in self._ODD):
             return self.whole(text)
         first, *rest = text.split(b" ")
-        return (self.whole(first) if first else b"") + b"".join(map(self._cache.__getitem__, rest))
+        return (self._bare[first] if first else b"") + b"".join(map(self._cache.__getitem__, rest))
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
