@@ -97,8 +97,8 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     block = max(block, -(-int(wanted) // MOST_SLOTS))
     slots = int(wanted / block * 1.01) + 64
     plan = materialise(schedule(goals, block, slots))
-    # Documents along their source's stream, a few thousand to a chunk of the hash's range.
-    bits = min(20, max(4, (kept.count() // 5000).bit_length()))
+    # Documents along their source's stream, some hundreds to a chunk of the hash's range.
+    bits = min(24, max(4, (kept.count() // 500).bit_length()))
     chunk = F.shiftright("_h", 64 - bits)
     placed = spread_ranks(kept, ["source"], ["_h", "doc_id"], F.col("size"), "_at", chunk)
     known = goals.select(F.col("source").alias("_gs"), "source_size", "target")
