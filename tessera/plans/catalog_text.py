@@ -8,9 +8,6 @@ from tessera.functions import charclass as cc
 from tessera.functions import text
 from tessera.plans.registry import query
 
-S = F.col("text")
-
-
 def _docs(t):
     return t.documents.select("doc_id", "text")
 
@@ -37,12 +34,12 @@ def _(t):
 
 @query("text_indent", "select doc_id, array_to_string([case when x = '' then '' else '> ' || x end for x in [trim(y) for y in string_split(text, chr(10))]], chr(10)) as out from documents")
 def _(t):
-    return _docs(t).select("doc_id", text.indent(S, "> ").alias("out"))
+    return _docs(t).select("doc_id", text.indent(F.col("text"), "> ").alias("out"))
 
 
 @query("text_dedent", "select doc_id, text as out from documents")
 def _(t):
-    return _docs(t).select("doc_id", text.dedent(F.concat(F.lit("   "), F.replace(S, F.lit("\n"), F.lit("\n   ")))).alias("out"))
+    return _docs(t).select("doc_id", text.dedent(F.concat(F.lit("   "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n   ")))).alias("out"))
 
 
 @query("text_partition", "select p_partkey, string_split(p_name, ' ')[1] as head, case when contains(p_name, ' ') then ' ' else '' end as mark, case when contains(p_name, ' ') then substr(p_name, instr(p_name, ' ') + 1) else '' end as tail, string_split(p_brand, '#')[-1] as last from part")
@@ -68,22 +65,22 @@ def _(t):
 
 @query("text_unwrap", "select doc_id, array_to_string([replace(p, chr(10), ' ') for p in string_split_regex(text, '\\n(?:[^\\S\\n]*\\n)+')], chr(10) || chr(10)) as out from documents")
 def _(t):
-    return _docs(t).select("doc_id", text.unwrap(S).alias("out"))
+    return _docs(t).select("doc_id", text.unwrap(F.col("text")).alias("out"))
 
 
 @query("text_wrap")
 def _(t):
-    return t.conversations.select("conv_id", "turn", text.wrap(S, 40).alias("out"))
+    return t.conversations.select("conv_id", "turn", text.wrap(F.col("text"), 40).alias("out"))
 
 
 @query("text_normalize", "select doc_id, nfc_normalize(text) as nfc from documents")
 def _(t):
-    return _docs(t).select("doc_id", text.normalize(text.normalize(S, "NFD"), "NFC").alias("nfc"))
+    return _docs(t).select("doc_id", text.normalize(text.normalize(F.col("text"), "NFD"), "NFC").alias("nfc"))
 
 
 @query("text_normal_forms")
 def _(t):
-    return _docs(t).select("doc_id", *[F.length(text.normalize(S, f)).alias(f.lower()) for f in ("NFC", "NFD", "NFKC", "NFKD")])
+    return _docs(t).select("doc_id", *[F.length(text.normalize(F.col("text"), f)).alias(f.lower()) for f in ("NFC", "NFD", "NFKC", "NFKD")])
 
 
 @query("text_characters", "select p_partkey, array_to_string(string_split(p_brand, ''), '|') as chars from part")
@@ -110,7 +107,7 @@ def _(t):
  regexp_replace(text, '[\t-\r ]+', '_', 'g') as collapsed, regexp_replace(text, '[0-9]', '$', 'g') as replaced from documents""")
 def _(t):
     v = cc.char_set("aeiou")
-    return _docs(t).select("doc_id", v.count(S).alias("vowels"), v.remove(S).alias("removed"), cc.LOWER.retain(S).alias("kept"), cc.WHITESPACE.collapse(S, "_").alias("collapsed"), cc.DIGIT.replace(S, "$").alias("replaced"))
+    return _docs(t).select("doc_id", v.count(F.col("text")).alias("vowels"), v.remove(F.col("text")).alias("removed"), cc.LOWER.retain(F.col("text")).alias("kept"), cc.WHITESPACE.collapse(F.col("text"), "_").alias("collapsed"), cc.DIGIT.replace(F.col("text"), "$").alias("replaced"))
 
 
 @query("chars_find", r"""select p_partkey, case when regexp_matches(p_name, '[m-z]') then length(regexp_extract(p_name, '^[^m-z]*')) else -1 end as first, case when regexp_matches(p_name, '[m-z]') then length(p_name) - 1 - length(regexp_extract(p_name, '[^m-z]*$')) else -1 end as last,
@@ -128,29 +125,29 @@ def _(t):
 
 @query("chars_tests", r"""select doc_id, regexp_full_match(text, '[\x00-\x7F]*') as ascii, regexp_matches(text, '[0-9]') as digit, not regexp_matches(text, '[A-Z]') as no_upper, regexp_matches(text, '[!-/:-@\[-`{-~]') as punctuation, regexp_matches(text, '[A-Za-z0-9_]') as word from documents""")
 def _(t):
-    return _docs(t).select("doc_id", cc.ASCII.every_of(S).alias("ascii"), cc.DIGIT.any_of(S).alias("digit"), cc.UPPER.none_of(S).alias("no_upper"), cc.PUNCTUATION.any_of(S).alias("punctuation"), cc.LETTER_OR_DIGIT.any_of(S).alias("word"))
+    return _docs(t).select("doc_id", cc.ASCII.every_of(F.col("text")).alias("ascii"), cc.DIGIT.any_of(F.col("text")).alias("digit"), cc.UPPER.none_of(F.col("text")).alias("no_upper"), cc.PUNCTUATION.any_of(F.col("text")).alias("punctuation"), cc.LETTER_OR_DIGIT.any_of(F.col("text")).alias("word"))
 
 
 @query("chars_algebra", r"""select doc_id, cast(len(regexp_extract_all(text, '[bcdfghjklmnpqrstvwxyz]')) as integer) as consonants, cast(len(regexp_extract_all(text, '[a-z0-9]')) as integer) as lower_or_digit, cast(len(regexp_extract_all(text, '[^a-z]')) as integer) as others, 0 as none, cast(length(text) as integer) as every from documents""")
 def _(t):
     return _docs(t).select(
-        "doc_id", cc.pattern("a-z-[aeiou]").count(S).alias("consonants"), (cc.LOWER | cc.DIGIT).count(S).alias("lower_or_digit"), cc.pattern("^a-z").count(S).alias("others"), (cc.no_char() | (cc.LOWER & cc.UPPER)).count(S).alias("none"), (cc.any_char() & ~cc.no_char()).count(S).alias("every")
+        "doc_id", cc.pattern("a-z-[aeiou]").count(F.col("text")).alias("consonants"), (cc.LOWER | cc.DIGIT).count(F.col("text")).alias("lower_or_digit"), cc.pattern("^a-z").count(F.col("text")).alias("others"), (cc.no_char() | (cc.LOWER & cc.UPPER)).count(F.col("text")).alias("none"), (cc.any_char() & ~cc.no_char()).count(F.col("text")).alias("every")
     )
 
 
 @query("chars_categories", r"""select doc_id, cast(len(regexp_extract_all(text, '\p{Lu}')) as integer) as lu, cast(len(regexp_extract_all(text, '\p{L}')) as integer) as letters, cast(len(regexp_extract_all(text, '\p{N}')) as integer) as numbers, cast(len(regexp_extract_all(text, '\p{P}')) as integer) as marks, cast(len(regexp_extract_all(text, '\p{S}')) as integer) as symbols from documents""")
 def _(t):
-    return _docs(t).select("doc_id", *[cc.category(c).count(S).alias(n) for n, c in (("lu", "Lu"), ("letters", "letter"), ("numbers", "number"), ("marks", "punctuation"), ("symbols", "symbol"))])
+    return _docs(t).select("doc_id", *[cc.category(c).count(F.col("text")).alias(n) for n, c in (("lu", "Lu"), ("letters", "letter"), ("numbers", "number"), ("marks", "punctuation"), ("symbols", "symbol"))])
 
 
 @query("chars_scripts", r"""select doc_id, cast(len(regexp_extract_all(text, '\p{Latin}')) as integer) as latin, cast(len(regexp_extract_all(text, '\p{Greek}')) as integer) as greek, cast(len(regexp_extract_all(text, '[0-9A-Fa-f]')) as integer) as hexa, cast(len(regexp_extract_all(text, '[\t-\r ]')) as integer) as white from documents""")
 def _(t):
-    return _docs(t).select("doc_id", cc.script("Latin").count(S).alias("latin"), cc.script("Greek").count(S).alias("greek"), cc.binary_property("ascii_hex_digit").count(S).alias("hexa"), cc.binary_property("white_space").count(S).alias("white"))
+    return _docs(t).select("doc_id", cc.script("Latin").count(F.col("text")).alias("latin"), cc.script("Greek").count(F.col("text")).alias("greek"), cc.binary_property("ascii_hex_digit").count(F.col("text")).alias("hexa"), cc.binary_property("white_space").count(F.col("text")).alias("white"))
 
 
 @query("chars_bidi")
 def _(t):
-    return _docs(t).select("doc_id", *[cc.bidi(b).count(S).alias(b.lower()) for b in ("L", "EN", "WS", "ON")])
+    return _docs(t).select("doc_id", *[cc.bidi(b).count(F.col("text")).alias(b.lower()) for b in ("L", "EN", "WS", "ON")])
 
 
 @query("text_scope_pipe", "select n_regionkey, count(*) as n from nation where n_nationkey > 3 group by 1")

@@ -9,9 +9,6 @@ from tessera.functions import temporal as tm
 from tessera.functions.temporal import TimeUnit
 from tessera.plans.registry import query
 
-D = F.col("o_orderdate")
-
-
 def _orders(t):
     return t.orders.select("o_orderkey", "o_orderdate")
 
@@ -19,7 +16,7 @@ def _orders(t):
 @query("date_accessors", """select o_orderkey, (year(o_orderdate) % 4 = 0 and (year(o_orderdate) % 100 <> 0 or year(o_orderdate) % 400 = 0)) as leap, cast(dayofyear(make_date(year(o_orderdate), 12, 31)) as integer) as days_in_year, cast(day(last_day(o_orderdate)) as integer) as days_in_month,
  cast(weekofyear(make_date(year(o_orderdate), 12, 28)) as integer) as weeks, cast(quarter(o_orderdate) as integer) as quarter, cast(isoyear(o_orderdate) as integer) as week_year, cast(weekofyear(o_orderdate) as integer) as week, cast(dayofyear(o_orderdate) as integer) as day_of_year from orders""")
 def _(t):
-    return _orders(t).select("o_orderkey", tm.is_leap_year(D).alias("leap"), tm.days_in_year(D).alias("days_in_year"), tm.days_in_month(D).alias("days_in_month"), tm.weeks_in_year(D).alias("weeks"), F.quarter(D).alias("quarter"), tm.week_year(D).alias("week_year"), tm.week_number(D).alias("week"), F.dayofyear(D).alias("day_of_year"))
+    return _orders(t).select("o_orderkey", tm.is_leap_year(F.col("o_orderdate")).alias("leap"), tm.days_in_year(F.col("o_orderdate")).alias("days_in_year"), tm.days_in_month(F.col("o_orderdate")).alias("days_in_month"), tm.weeks_in_year(F.col("o_orderdate")).alias("weeks"), F.quarter(F.col("o_orderdate")).alias("quarter"), tm.week_year(F.col("o_orderdate")).alias("week_year"), tm.week_number(F.col("o_orderdate")).alias("week"), F.dayofyear(F.col("o_orderdate")).alias("day_of_year"))
 
 
 @query("date_hour12", "select event_id, cast((hour(ts) + 11) % 12 + 1 as integer) as h from events")
