@@ -35,6 +35,8 @@ SKETCH, SKETCH_DIFFERENT = 1024, 296
 #: Rows of a block; a bucket of more rows is dealt as pairs of blocks.
 BLOCK = 1024
 BROADCAST_ROWS = 20_000
+#: Ids of candidates (8 bytes each) that are broadcast at most; beyond it they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 _MASK = (1 << 64) - 1
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -153,7 +155,10 @@ def _again(docs: DataFrame, wanted: DataFrame, make_value, kind: str) -> DataFra
 
         return step
 
-    rows = pick(docs, "doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = wanted.select(F.col("id").alias("doc_id")).distinct()
+    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled
+        ids = F.broadcast(ids)
+    rows = pick(docs, "doc_id", "text").join(ids, "doc_id", "left_semi")
     # A repeated doc_id stands once.
     return map_rows(rows.select("doc_id", F.col("text").cast("binary").alias("text")), make, f"id long, s {kind}").dropDuplicates(["id"])
 
