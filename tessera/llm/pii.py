@@ -5,12 +5,16 @@ lower case, a number's digits), so that every mention of one is replaced alike,
 in whatever format it stands.  A surrogate follows from a keyed hash of type and
 normal form.  Surrogates are checked against each other and against all real
 entities; of those that collide, all but one are drawn again, until none does.
+Later draws are longer, so there is always room.  Family names are settled word
+by word, then full names are put together from them.
 Everything here is DataFrame code; texts without entities are never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import count as numbers_from
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +57,10 @@ PATTERN = "|".join(f"(?:{p})" for _, p in FORMS)
 #: What a text must hold to be searched at all.
 _HINT = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}|[=:] ?[\"']"
 
-_DRAWS = 20
+#: From this draw on, a surrogate is longer than the original by two digits more a draw.
+_LONGER = 4
+#: From this draw on, a made-up name has a syllable more a draw; given names are made up from _LONGER on.
+_SYLLABLES_MORE = 2
 
 
 def _kind(raw: Column) -> Column:
@@ -63,7 +70,7 @@ def _kind(raw: Column) -> Column:
         ("ip", raw.rlike(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$")),
         ("ssn", raw.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
         ("card", raw.rlike(r"^[0-9](?:[ -]?[0-9]){12,18}$")),
-        ("phone", raw.rlike(r"^[+(0-9][0-9() .-]*$")),
+        ("phone", raw.rlike(r"^[+(0-9][0-9() .-]*$") & raw.rlike(r"^(?:[^0-9]*[0-9]){8}")),
         ("name", raw.rlike(rf"^(?:{_TITLES})\.? ")),
         ("iban", raw.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]+$") & ~raw.rlike("^AKIA")),
     )
@@ -88,19 +95,21 @@ def _number(h: Column, at: Column | int, digits: int = 2) -> Column:
 
 
 def _same_format(text: Column, h: Column) -> Column:
-    """Digits for digits and letters for letters of either case; all else stays.  Hexadecimal stays hexadecimal."""
+    """Digits for digits and letters for letters of either case, of any script; all else stays, but becomes
+    letters where there is nothing else.  Hexadecimal stays hexadecimal."""
     lower, upper = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     hexa = text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & (F.length(text) >= 32)
     low = text.rlike("[a-f]")
+    marks = ~text.rlike(r"[\p{L}\p{M}\p{N}]")
 
     def one(c: Column, i: Column) -> Column:
         n = _number(h, i % 240)
         h16 = F.hex((n % 16).cast("long"))
         return (
             F.when(hexa, F.when(low, F.lower(h16)).otherwise(h16))
-            .when(c.rlike("^[0-9]$"), (n % 10).cast("string"))
-            .when(c.rlike("^[a-z]$"), F.substring(lower, n % 26 + 1, F.lit(1)))
-            .when(c.rlike("^[A-Z]$"), F.substring(upper, n % 26 + 1, F.lit(1)))
+            .when(c.rlike(r"^\p{N}$"), (n % 10).cast("string"))
+            .when(c.rlike(r"^\p{Lu}$"), F.substring(upper, n % 26 + 1, F.lit(1)))
+            .when(marks | c.rlike(r"^[\p{L}\p{M}]$"), F.substring(lower, n % 26 + 1, F.lit(1)))
             .otherwise(c)
         )
 
@@ -129,37 +138,51 @@ def _pool(words: str, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in own]), (n % len(own) + 1).cast("int"))
 
 
-def _name(raw: Column, key: str, draw: Column) -> Column:
-    """Title kept; the given name by gender and script, family names from syllables, each by a hash of its own word.
-
-    So "Mr Adam Bell" and "Mr Bell" stay the same person's.
-    """
+def _words(raw: Column) -> tuple[Column, Column]:
+    """A name's title, with what stands between, and its words."""
     title = F.regexp_extract(raw, rf"^(?:{_TITLES})\.? ", 0)
-    words = F.split(F.substring(raw, F.length(title) + 1, F.length(raw)), " ")
-    bare = F.regexp_replace(title, r"\.? $", "")
-    gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("")
+    return title, F.split(F.substring(raw, F.length(title) + 1, F.length(raw)), " ")
+
+
+def _word_hash(word: Column, key: str, draw: int) -> Column:
+    return F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("name"), F.lit(str(draw)), word).cast("binary"), 256)
+
+
+def _script(word: Column) -> Column:
+    return F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
+
 
-    def one(w: Column, i: Column) -> Column:
-        h = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("name"), draw.cast("string"), w).cast("binary"), 256)
-        script = F.when(w.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(w.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-        sex = F.when(gender != "", gender).when(_number(h, 9) % 2 == 0, "m").otherwise("f")
-        given = reduce(lambda rest, g: F.when((script == g[0][0]) & (sex == g[0][1]), _pool(g[1], _number(h, 0, 4))).otherwise(rest), GIVEN.items(), F.lit(""))
-        parts = [reduce(lambda rest, s, k=k: F.when(script == s[0], _pool(s[1], _number(h, k, 4))).otherwise(rest), SYLLABLES.items(), F.lit("")) for k in (1, 2, 3)]
-        family = F.initcap(F.concat(*parts))
-        return F.when((i == 0) & (F.size(words) > 1), given).otherwise(family)
+def _family(word: Column, key: str, draw: int) -> Column:
+    """Three syllables of the word's script, more in later draws."""
+    h, script = _word_hash(word, key, draw), _script(word)
+    size = min(15, 3 + max(0, draw - _SYLLABLES_MORE + 1))  # a hash has 15 numbers besides the given name's
+    parts = [reduce(lambda rest, s, k=k: F.when(script == s[0], _pool(s[1], _number(h, k, 4))).otherwise(rest), SYLLABLES.items(), F.lit("")) for k in range(1, size + 1)]
+    return F.initcap(F.concat(*parts))
 
-    return F.concat(title, F.array_join(F.transform(words, one), " "))
+
+def _given(title: Column, word: Column, key: str, draw: int) -> Column:
+    """A given name by gender and script; once those are too few, a made-up one."""
+    if draw >= _LONGER:
+        return _family(word, key, draw)
+    h, script = _word_hash(word, key, draw), _script(word)
+    bare = F.regexp_replace(title, r"\.? $", "")
+    gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("")
+    sex = F.when(gender != "", gender).when(_number(h, 9) % 2 == 0, "m").otherwise("f")
+    return reduce(lambda rest, g: F.when((script == g[0][0]) & (sex == g[0][1]), _pool(g[1], _number(h, 0, 4))).otherwise(rest), GIVEN.items(), F.lit(""))
 
 
-def _surrogate(key: str, kind: Column, normal: Column, draw: Column) -> Column:
-    h = _hashes(key, kind, normal, draw)
+def _surrogate(key: str, kind: Column, normal: Column, draw: int) -> Column:
+    h = _hashes(key, kind, normal, F.lit(draw))
     local = F.substring_index(normal, "@", 1)
-    more = F.when(draw > 3, F.concat(F.lit("."), F.substring(h, F.lit(401), F.lit(8)))).otherwise(F.lit(""))  # where a format is too narrow for all
-    email = F.concat(_same_format(local, h), more, F.lit("@example."), _pool("com net org", _number(h, 120)))
-    octets = F.concat_ws(".", *[(_number(h, i, 4) % 254 + 1).cast("string") for i in range(4)])
+    # where a format is too narrow for all
+    more = F.concat(F.lit("."), F.substring(h, F.lit(401), F.lit(8))) if draw > 3 else F.lit("")
+    longer = F.translate(F.substring(h, F.lit(409), F.lit(2 * max(0, draw - _LONGER + 1))), "abcdef", "012345")
+    email = F.concat(_same_format(local, h), more, longer, F.lit("@example."), _pool("com net org", _number(h, 120)))
+    octets = F.concat_ws(".", *[(_number(h, i, 4) % 254 + 1).cast("string") for i in range(4)], *([longer] if draw >= _LONGER else []))
     phone = F.concat(F.substring(normal, F.lit(1), F.lit(1)), _same_format(F.substring(normal, F.lit(2), F.length(normal)), h))
     iban = F.concat(F.substring(normal, F.lit(1), F.lit(2)), _same_format(F.substring(normal, F.lit(3), F.length(normal)), h))
-    return F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", _card(normal, h)).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", _name(normal, key, draw)).otherwise(_same_format(normal, h))
+    same = F.when(kind == "card", _card(normal, h)).when(kind == "phone", phone).when(kind == "iban", iban).otherwise(_same_format(normal, h))
+    return F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "family", _family(normal, key, draw)).otherwise(F.concat(same, longer))
 
 
 def _rendered(kind: Column, raw: Column, core: Column) -> Column:
@@ -168,28 +191,46 @@ def _rendered(kind: Column, raw: Column, core: Column) -> Column:
     put = F.array_join(
         F.transform(F.split(raw, ""), lambda c, i: F.when(c.rlike("^[A-Za-z0-9]$"), F.substring(core, F.array_position(places, i + 1).cast("int"), F.lit(1))).otherwise(c)), ""
     )
-    return F.when(kind.isin("ssn", "card", "phone", "iban"), put).otherwise(core)
+    rest = F.substring(core, F.size(places) + 1, F.length(core))  # of a surrogate longer than the mention
+    return F.when(kind.isin("ssn", "card", "phone", "iban"), F.concat(put, rest)).otherwise(core)
 
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, normal, core for distinct entities (kind, normal): no two of a kind alike, none equal to a real one."""
-    pending, settled, wrote = materialise(entities.select("kind", "normal").distinct()), None, []
-    real = pending
-    for draw in range(_DRAWS):
-        drawn = materialise(pending.withColumn("core", _surrogate(key, F.col("kind"), F.col("normal"), F.lit(draw))))
+def _settle(real: DataFrame, core: Callable[[int], Column]) -> DataFrame:
+    """``real`` (kind, normal, ...) with a core for each: no two of a kind alike, none equal to a real one."""
+    pending, settled = real, None
+    for draw in numbers_from():
+        drawn = materialise(pending.withColumn("core", core(draw)))
         first = drawn.groupBy("kind", "core").agg(F.min("normal").alias("first"))
         taken = real.select(F.col("kind").alias("k"), F.col("normal").alias("c"))
         if settled is not None:
             taken = taken.union(settled.select("kind", "core"))
         free = first.join(taken, (F.col("kind") == F.col("k")) & (F.col("core") == F.col("c")), "left_anti").select(F.col("kind").alias("k"), F.col("first").alias("f"))
         won = materialise(drawn.join(free, (F.col("kind") == F.col("k")) & (F.col("normal") == F.col("f")), "left_semi"))
-        lost = materialise(drawn.join(free, (F.col("kind") == F.col("k")) & (F.col("normal") == F.col("f")), "left_anti").select("kind", "normal"))
+        lost = materialise(drawn.join(free, (F.col("kind") == F.col("k")) & (F.col("normal") == F.col("f")), "left_anti").drop("core"))
         discard(drawn)
         settled = won if settled is None else settled.unionAll(won)
         if not lost.take(1):
             return settled
         pending = lost
-    raise RuntimeError(f"surrogates still collide after {_DRAWS} draws")
+
+
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """kind, normal, core for distinct entities (kind, normal): no two of a kind alike, none equal to a real one.
+
+    A word of a family name has one surrogate wherever it stands, so "Mr Adam
+    Bell" and "Mr Bell" stay the same person's.  None is a real family name, so
+    no full name is a real one.
+    """
+    every = materialise(entities.select("kind", "normal").distinct())
+    title, words = _words(F.col("normal"))
+    names = every.where("kind = 'name'").select("kind", "normal", title.alias("title"), F.when(F.size(words) > 1, words[0]).alias("given"), F.when(F.size(words) > 1, F.slice(words, 2, 2)).otherwise(words).alias("families"))
+    family = names.select(F.lit("family").alias("kind"), F.explode("families").alias("normal")).distinct()
+    parts = _settle(materialise(every.where("kind <> 'name'").unionAll(family)), lambda draw: _surrogate(key, F.col("kind"), F.col("normal"), draw))
+    own = parts.where("kind = 'family'").select(F.col("normal").alias("word"), "core")
+    placed = names.select("kind", "normal", "title", "given", F.posexplode("families").alias("pos", "word")).join(own, "word")
+    called = placed.groupBy("kind", "normal", "title", "given").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "core"))), lambda f: f["core"]), " ").alias("families"))
+    full = _settle(materialise(called), lambda draw: F.concat(F.col("title"), F.when(F.col("given").isNull(), "").otherwise(F.concat(_given(F.col("title"), F.col("given"), key, draw), F.lit(" "))), F.col("families")))
+    return parts.where("kind <> 'family'").unionAll(full.select("kind", "normal", "core"))
 
 
 def detect(docs: DataFrame) -> DataFrame:

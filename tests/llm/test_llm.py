@@ -321,6 +321,32 @@ def test_surrogates_are_distinct(spark):
     assert not {(r["kind"], r["core"]) for r in out} & set(rows)
 
 
+def test_surrogates_of_what_has_no_letter_or_digit(spark):
+    hidden = ["********", "......", "((((((((", "пароль-тайный", "密码密码密码"]
+    df = spark.createDataFrame([(i, f'password="{t}" stays') for i, t in enumerate(hidden)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(df, "k").collect()}
+    for i, t in enumerate(hidden):
+        assert out[i].startswith('password="') and out[i].endswith('" stays') and t not in out[i]
+    assert "пароль" not in out[3] and "-" in out[3]
+
+
+def test_surrogates_of_more_than_a_format_has(spark):
+    letters = "αβγδεζηθικλμ"
+    words = ["Ω" + a + b + c for a in letters for b in letters for c in letters] + ["Ψ" + a + b for a in letters for b in letters]  # 1,872 of 12^3 = 1,728 made-up names
+    rows = [("name", f"κύριος {w}") for w in words] + [("name", f"κύριος Νίκος {w}") for w in words[:50]]
+    rows += [("name", f"Mr {a}{b} Bell") for a in "ABCDEFGH" for b in ("al", "el", "il", "ol", "ul")]  # 40 of 20 given names
+    rows += [("secret", f"!!!!!{c}") for c in "abcdefghijklmnopqrstuvwxyz"]  # every letter is a real one
+    out = pii.surrogates(spark.createDataFrame(rows, "kind string, normal string"), "k").collect()
+    core = {(r["kind"], r["normal"]): r["core"] for r in out}
+    assert set(core) == set(rows) and len(set(core.items())) == len({(k, c) for (k, _), c in core.items()}) == len(rows)
+    assert not {(k, c) for (k, _), c in core.items()} & set(rows)
+    for w in words[:50]:
+        assert core["name", f"κύριος {w}"].split()[-1] == core["name", f"κύριος Νίκος {w}"].split()[-1]
+    assert len({c.split()[-1] for (k, n), c in core.items() if n.endswith("Bell")}) == 1
+    rendered = spark.createDataFrame([("ssn", "123-45-6789", "98765432101")], "k string, r string, c string").select(pii._rendered(F.col("k"), F.col("r"), F.col("c")).alias("o")).first()["o"]
+    assert rendered == "987-65-432101"
+
+
 # -- 9: mixing -----------------------------------------------------------------------------
 
 
