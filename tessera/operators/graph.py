@@ -207,8 +207,12 @@ def random_graph(spark: SparkSession, n: int, probability: float, seed: int = 0,
 # -- iterative algorithms -------------------------------------------------------------
 
 
-def breadth_first(g: Graph, starts: DataFrame, most: int = 1000) -> DataFrame:
-    """id, depth of everything reachable from the starts, themselves at 0."""
+def breadth_first(g: Graph, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """id, depth of everything reachable from the starts, themselves at 0.
+
+    A round a step; more than ``most`` (as many as there are vertices, if not given) are an error.
+    """
+    most = g.vertices.count() + 1 if most is None else most
     seen = checkpointed(starts.select("id").distinct().withColumn("depth", F.lit(0).cast("long")))
     frontier = seen
     for depth in range(1, most + 1):
@@ -376,14 +380,17 @@ def spanning_tree_from(g: Graph, start, weight: Column | None = None, largest: b
     return spanning_forest(part, weight, largest)
 
 
-def strongly_connected(g: Graph, most: int = 1000) -> DataFrame:
+def strongly_connected(g: Graph, most: int | None = None) -> DataFrame:
     """id, component (its smallest id), by colouring.
 
     Every vertex takes the largest id that reaches it; those of a colour that
-    reach back to its vertex are a component, and leave.
+    reach back to its vertex are a component, and leave.  Colours spread a step
+    a round; more rounds than ``most`` (as many as there are vertices, if not
+    given, which always do) are an error.
     """
     if not g.directed:
         raise ValueError("strong components need a directed graph")
+    most = max(1, g.vertices.count()) if most is None else most
     left, edges, done = checkpointed(g.vertices.select("id")), checkpointed(g.edges.select("src", "dst").where("src <> dst")), None
     for _ in range(most):
         colour = checkpointed(left.select("id", F.col("id").alias("c")))
@@ -394,6 +401,8 @@ def strongly_connected(g: Graph, most: int = 1000) -> DataFrame:
             colour = after.select("id", "c")
             if not changed:
                 break
+        else:
+            raise RuntimeError(f"colours did not settle in {most} rounds")
         same = edges.join(colour.select(F.col("id").alias("src"), F.col("c").alias("c1")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("c2")), "dst").where("c1 = c2")
         back = checkpointed(same.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("c1").alias("value")))
         found = breadth_first(Graph(left, back), colour.where("id = c"))

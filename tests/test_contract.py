@@ -255,3 +255,11 @@ def test_stream_windows_and_buffers(spark, tmp_path):
     assert sorted((r["k"], r["start"], tuple(r["items"])) for r in got.collect()) == [("a", 0, (10, 30)), ("a", 2, (50, 70)), ("b", 0, (0, 20)), ("b", 2, (40, 60)), ("b", 4, (80, 100))]
     got = stream.run_to_end(stream.buffer(source(), "k", "ts", "v", 3), "buffers")
     assert sorted((r["k"], tuple(r["items"])) for r in got.collect()) == [("a", (10, 30, 50)), ("b", (0, 20, 40)), ("b", (60, 80, 100))]
+
+
+def test_strong_components_are_whole_or_an_error(spark):
+    ring = graph.ring(spark, 8)
+    assert {r["component"] for r in graph.strongly_connected(ring).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.strongly_connected(ring, most=3)
+    assert graph.strongly_connected(graph.empty(spark, 0)).count() == 0
