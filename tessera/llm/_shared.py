@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,22 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     return placed.select(*[F.col(f"_p{df.columns.index(old)}").alias(new) for new, old in wanted.items()])
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column], list[Column]]:
+    """The frame with columns named by place, a function from a name to its column, and the columns under their names.
+
+    For operators that pass all columns through, some of which may differ only in case.
+    """
+    names = df.columns
+    places = [f"_p{i}" for i in range(len(names))]
+
+    def at(name: str) -> Column:
+        if name not in names:
+            raise ValueError(f"no column {name!r} in {names}")
+        return F.col(places[names.index(name)])
+
+    return df.toDF(*places), at, [F.col(p).alias(n) for p, n in zip(places, names)]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or where unset (tests) a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,9 +70,40 @@ def materialise(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+#: Tables written in the scopes that are open, the innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what `materialise` wrote within it.
+
+    Gives a function that writes a result which outlives the scope (and belongs
+    to the scope around it, if there is one).
+    """
+    _SCOPES.append([])
+    kept = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(materialise(df))
+        return kept[-1]
+
+    try:
+        yield keep
+    finally:
+        written = _SCOPES.pop()
+        for df in written:
+            if not any(df is k for k in kept):
+                discard(df)
+        if _SCOPES:
+            _SCOPES[-1].extend(kept)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what `materialise` wrote for a frame that nothing reads any more."""
     path = getattr(df, "_tessera_path", None)
@@ -92,6 +140,20 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[S
     return df.mapInArrow(run, schema)
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept for a bounded number of short ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        h = xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
 def hash_fraction(doc_id: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key alone, for choosing a bounded sample."""
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))

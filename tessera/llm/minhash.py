@@ -9,18 +9,21 @@ the distance share a key.  Links are confirmed on the full shingle sets.
 
 Texts with equal sets are one class.  Classes that share a key are first linked
 to the key's smallest class; what these links leave apart is then compared pair
-by pair, so a group of copies costs a link a member and not a link a pair.
+by pair, so a group of copies costs a link a member and not a link a pair.  Of
+those pairs only such are confirmed as can reach the similarity at all: sizes
+and bit maps of the sets give bounds that hold for certain, so no pair under the
+distance is lost.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import discard, map_rows, materialise, pick
+from tessera.llm._shared import WordHashes, discard, map_rows, materialise, pick, scope
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -29,79 +32,93 @@ SLOTS, BITS, CHUNKS = 30, 16, 6
 MOST_DIFFERENT = 17
 PER_CHUNK = SLOTS // CHUNKS
 IN_ERROR = MOST_DIFFERENT // CHUNKS
-#: Of 1024 minima of 4 bits, 240 differ at a similarity of 0.75, with a deviation of 13.6: more than
-#: SKETCH_DIFFERENT in 2 of 100,000 pairs.
-SKETCH, SKETCH_DIFFERENT = 1024, 296
+#: Bits of a set's map: the power of two from eight times its size on, within these. Maps of long texts are
+#: fuller and let more pairs through to the confirmation; they lose none.
+LEAST_MAP, MOST_MAP = 64, 1 << 15
 #: Rows of a block; a bucket of more rows is dealt as pairs of blocks.
 BLOCK = 1024
 BROADCAST_ROWS = 20_000
 #: Ids of candidates (8 bytes each) that are broadcast at most; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of texts that are signed together (a longer text alone), pairs compared together, rows held together.
+TOGETHER, PAIRS, ROWS = 1 << 20, 200_000, 20_000
 
-_MASK = (1 << 64) - 1
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH_SEEDS = np.random.default_rng(77).integers(0, 1 << 32, (2, SKETCH), dtype=np.uint32)
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(SHINGLE)]
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        h = xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: bytes | None, words: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's five-word shingles; of all its words if there are fewer."""
-    run = text.lower().split() if text else []
-    if not run:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, run), np.uint64, len(run))
-    n = max(1, len(h) - SHINGLE + 1)
-    total = np.full(n, min(len(h), SHINGLE), np.uint64)
-    for i in range(min(len(h), SHINGLE)):
-        total = total + _mixed(h[i : i + n] + np.uint64(i)) * _POWERS[i]
-    return np.unique(_mixed(total))
+def _shingled(h: np.ndarray, size: int) -> np.ndarray:
+    """The hash of ``size`` words from each place on."""
+    n = len(h) - size + 1
+    total = np.full(n, size, np.uint64)
+    for i in range(size):
+        total += _mixed(h[i : i + n] + np.uint64(i)) * _POWERS[i]
+    return _mixed(total)
+
 
+def shingles(texts: list[bytes | None], words: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): sorted distinct 64-bit hashes of each text's five-word shingles, one text after another.
 
-def signature(found: np.ndarray) -> bytes:
-    """SLOTS minima, the low BITS bits of each."""
-    slots = np.empty(SLOTS, "<u2")
+    A text with fewer words has one shingle of all of them, one without words none.
+    """
+    runs = [t.lower().split() if t else [] for t in texts]
+    count = np.array([len(r) for r in runs], np.int64)
+    h = np.fromiter(map(words.__getitem__, chain.from_iterable(runs)), np.uint64, int(count.sum()))
+    first = np.cumsum(count) - count
+    size = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint64)
+    place = np.arange(len(out)) - np.repeat(start, size) + np.repeat(first, size)
+    full = np.repeat(count >= SHINGLE, size)
+    if full.any():
+        out[full] = _shingled(h, SHINGLE)[place[full]]
+    for i in np.flatnonzero((count > 0) & (count < SHINGLE)):
+        out[start[i]] = _shingled(h[first[i] : first[i] + count[i]], int(count[i]))[0]
+    for a, b in zip(start.tolist(), (start + size).tolist()):
+        out[a:b].sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = out[1:] != out[:-1]
+    fresh[start[size > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(fresh)])
+    return out[fresh], kept[start + size] - kept[start]
+
+
+def signatures(found: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(sets, SLOTS): the low BITS bits of each set's minima; ``start`` are the places of sets that are not empty."""
+    out = np.empty((len(start), SLOTS), "<u2")
     for k in range(SLOTS):
-        slots[k] = int(_mixed(found * _SEEDS[k]).min()) & 0xFFFF
-    return slots.tobytes()
+        out[:, k] = np.minimum.reduceat(found * _SEEDS[k], start) & np.uint64(0xFFFF)
+    return out
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """SKETCH more minima, 4 bits of each, two to a byte: a sharper estimate, for the pairs that the signatures leave."""
-    if not len(found):
-        return bytes(SKETCH // 2)
-    h = (found >> np.uint64(32)).astype(np.uint32)
-    out = np.empty(SKETCH, np.uint8)
-    for k in range(0, SKETCH, 32):
-        x = (h[None, :] ^ _SKETCH_SEEDS[0, k : k + 32, None]) * (_SKETCH_SEEDS[1, k : k + 32, None] | np.uint32(1))
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x85EBCA6B)
-        out[k : k + 32] = x.min(axis=1) & np.uint32(15)
-    return (out[0::2] << 4 | out[1::2]).tobytes()
+def bit_map(found: np.ndarray) -> bytes:
+    """A set's map: a bit for each remainder of its hashes."""
+    bits = min(MOST_MAP, max(LEAST_MAP, 1 << (8 * len(found) - 1).bit_length()))
+    out = np.zeros(bits, bool)
+    out[found & np.uint64(bits - 1)] = True
+    return np.packbits(out, bitorder="little").tobytes()
 
 
-def unpacked(sketches: list[bytes]) -> np.ndarray:
-    two = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH // 2)
-    return np.concatenate([two >> 4, two & 15], axis=1)
+def can_reach(x: int, x_bits: int, nx: int, y: int, y_bits: int, ny: int, percent: int) -> bool:
+    """Whether sets with these maps (as numbers) and sizes can be so similar.
+
+    A bit of one map that the other lacks stands for an element that the other
+    lacks; a larger map is folded to the smaller one's bits, for which that holds too.
+    """
+    while x_bits > y_bits:
+        x_bits >>= 1
+        x = (x >> x_bits) | (x & ((1 << x_bits) - 1))
+    while y_bits > x_bits:
+        y_bits >>= 1
+        y = (y >> y_bits) | (y & ((1 << y_bits) - 1))
+    common = min(nx - (x & ~y).bit_count(), ny - (y & ~x).bit_count())
+    return common * (100 + percent) >= percent * (nx + ny)
 
 
 def keys(sig: np.ndarray) -> np.ndarray:
@@ -117,56 +134,99 @@ def keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
+def _together(texts: list[bytes | None]):
+    """Bounds of parts of the texts with TOGETHER bytes at most, or of one text."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if held + n > TOGETHER and i > start:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _identities(found: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums of each set that is not empty."""
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.add.reduceat(found, start).view(np.int64), np.add.reduceat(_mixed(found ^ _POWERS[2]), start).view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (the set's identity) and sig of every whole text; sig is null for an empty set."""
+    """doc_id, text_hash, n_shingles, h1, h2 (the set's identity) and sig of every whole text; sig is null for an empty set."""
 
     def make():
-        words = _Words()
+        words = WordHashes()
 
         def step(cols):
             n, h1, h2, sig = [], [], [], []
-            for text in cols[1]:
-                s = shingles(text, words)
-                n.append(len(s))
-                if not len(s):
-                    h1.append(0)
-                    h2.append(0)
-                    sig.append(None)
-                    continue
-                h1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                h2.append(int(_mixed(s ^ _POWERS[2]).sum(dtype=np.uint64).view(np.int64)))
-                sig.append(signature(s))
-            return cols[0], n, h1, h2, sig
+            for a, b in _together(cols[2]):
+                found, size = shingles(cols[2][a:b], words)
+                some = np.flatnonzero(size)
+                start = (np.cumsum(size) - size)[some]
+                one, two = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+                one[some], two[some] = _identities(found, start)
+                made = [None] * (b - a)
+                if len(some):
+                    for i, s in zip(some, signatures(found, start)):
+                        made[i] = s.tobytes()
+                n.append(size)
+                h1.append(one)
+                h2.append(two)
+                sig += made
+            if not sig:
+                return [[]] * 6
+            return cols[0], cols[1], np.concatenate(n), np.concatenate(h1), np.concatenate(h2), sig
 
         return step
 
-    rows = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("text"))
-    return map_rows(rows, make, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    rows = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return map_rows(rows, make, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def _again(docs: DataFrame, wanted: DataFrame, make_value, kind: str) -> DataFrame:
-    """(id, s): a value of the full shingle sets of the wanted documents, read again from their texts."""
+def _again(docs: DataFrame, classes: DataFrame, wanted: DataFrame, make_value, kind: str) -> DataFrame:
+    """(id, s): a value of the full shingle sets of the wanted classes, read again from a text of each.
+
+    A class's text is found by its doc_id and the set's identity, as texts may
+    share a doc_id.
+    """
 
     def make():
-        words = _Words()
+        words = WordHashes()
 
         def step(cols):
-            return cols[0], [make_value(shingles(t, words)) for t in cols[1]]
+            n, h1, h2, values = [], [], [], []
+            for a, b in _together(cols[1]):
+                found, size = shingles(cols[1][a:b], words)
+                end = np.cumsum(size)
+                some = np.flatnonzero(size)
+                one, two = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+                one[some], two[some] = _identities(found, (end - size)[some])
+                n += size.tolist()
+                h1 += one.tolist()
+                h2 += two.tolist()
+                values += [make_value(found[e - k : e]) for e, k in zip(end.tolist(), size.tolist())]
+            return cols[0], n, h1, h2, values
 
         return step
 
-    ids = wanted.select(F.col("id").alias("doc_id")).distinct()
+    ids = classes.join(wanted.select(F.col("id").alias("_w")).distinct(), F.col("id") == F.col("_w"), "left_semi").select("id", "rep", "n", "h1", "h2")
+    ids = materialise(ids)
     if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled
         ids = F.broadcast(ids)
-    rows = pick(docs, "doc_id", "text").join(ids, "doc_id", "left_semi")
-    # A repeated doc_id stands once.
-    return map_rows(rows.select("doc_id", F.col("text").cast("binary").alias("text")), make, f"id long, s {kind}").dropDuplicates(["id"])
+    texts = pick(docs, "doc_id", "text").where("text is not null")
+    rows = texts.join(ids.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    again = map_rows(rows.select("doc_id", F.col("text").cast("binary").alias("text")), make, f"doc_id long, _n long, _h1 long, _h2 long, s {kind}")
+    met = again.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("n") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+    return met.select("id", "s").dropDuplicates(["id"])  # repeated rows
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class representatives whose full sets are similar enough."""
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    sets = materialise(_again(docs, ids, lambda s: s.view(np.int64), "array<bigint>"))
+    sets = materialise(_again(docs, classes, ids, lambda s: s.view(np.int64), "array<bigint>"))
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -192,8 +252,8 @@ def _expanded(classes: DataFrame) -> DataFrame:
     return map_rows(classes.select("id", "sig"), make, "id long, key long")
 
 
-def _within(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets' sizes allow the similarity and whose signatures (i, n, sig) lie within the distance."""
+def _within(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets' sizes allow the similarity and whose signatures lie within the distance."""
 
     def make():
         def step(cols):
@@ -205,16 +265,12 @@ def _within(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
         return step
 
-    x = signed.select(F.col("i").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    y = signed.select(F.col("i").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    x = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    y = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     met = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return map_rows(met.select("a", "b", "sa", "sb"), make, "a long, b long")
 
 
-def _distances(sig: np.ndarray, x: int, among: slice | np.ndarray) -> np.ndarray:
-    return (sig[among] != sig[x]).sum(axis=1)
-
-
 def _closest(ids, comp, n, sig, percent: int):
     """(a, b): a forest of smallest distances over a bucket's components, by Prim's algorithm."""
     far = SLOTS + 1
@@ -225,34 +281,64 @@ def _closest(ids, comp, n, sig, percent: int):
         open_[v] = False
         if 0 < best[v] <= MOST_DIFFERENT + 1:  # 0 stands for one component, others are raised by 1
             yield int(ids[parent[v]]), int(ids[v])
-        d = _distances(sig, v, slice(None)) + 1
+        d = (sig != sig[v]).sum(axis=1) + 1
         d[100 * np.minimum(n, n[v]) < percent * np.maximum(n, n[v])] = far
         d[comp == comp[v]] = 0
         nearer = open_ & (d < best)
         best[nearer], parent[nearer] = d[nearer], v
 
 
-def _all_apart(key, i, j, mine, ids, comp, n, sig, more, percent: int):
-    """(a, b): all pairs of different components within the distances whose first shared key is this one."""
-    order = np.argsort(n, kind="stable")
-    mine, ids, comp, n, sig, more = mine[order], ids[order], comp[order], n[order], sig[order], more[order]
+def _forests(held: dict, percent: int):
+    """(a, b) of the forests of whole buckets."""
+    bounds = np.flatnonzero(np.diff(held["bucket"], prepend=-1)).tolist()
+    for a, b in zip(bounds, [*bounds[1:], len(held["bucket"])]):
+        if b - a > 1 and (held["comp"][a:b] != held["comp"][a]).any():
+            yield from _closest(*(held[c][a:b] for c in ("id", "comp", "n", "sig")), percent)
+
+
+def _all_apart(held: dict, percent: int):
+    """(a, b): all pairs of whole buckets in different components, within the distance, that can reach the similarity.
+
+    Each pair where its first shared key is.
+    """
+    order = np.lexsort((held["n"], held["bucket"]))
+    bucket, key, same, mine, ids, comp, n, sig = (held[c][order] for c in ("bucket", "key", "same", "mine", "id", "comp", "n", "sig"))
     own = keys(sig)
-    end = np.searchsorted(n, n * 100 // percent, side="right")
-    for x in range(len(ids) - 1):
-        y = np.arange(x + 1, end[x])
-        y = y[(comp[y] != comp[x]) & ((i == j) | (mine[y] != mine[x]))]
-        y = y[_distances(sig, x, y) <= MOST_DIFFERENT]
-        if len(y):
-            y = y[own[x][(own[y] == own[x]).argmax(axis=1)] == key]
-        y = y[_distances(more, x, y) <= SKETCH_DIFFERENT] if len(y) else y
-        for z in y:
-            yield int(ids[x]), int(ids[z])
+    maps: dict[int, int] = {}
+
+    def as_number(k: int) -> int:
+        if k not in maps:
+            maps[k] = int.from_bytes(held["s"][order[k]], "little")
+        return maps[k]
+
+    reach = n * 100 // percent
+    most = int(reach.max()) + 1
+    end = np.searchsorted(bucket * most + n, bucket * most + reach, side="right")
+    count = end - np.arange(len(n)) - 1
+    until = np.cumsum(count)
+    at = 0
+    while at < len(n):
+        before = int(until[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(until, before + PAIRS, side="right")))
+        x = np.repeat(np.arange(at, stop), count[at:stop])
+        y = np.arange(len(x)) - np.repeat(until[at:stop] - count[at:stop] - before, count[at:stop]) + x + 1
+        at = stop
+        ok = (comp[x] != comp[y]) & (same[x] | (mine[x] != mine[y]))
+        x, y = x[ok], y[ok]
+        ok = np.count_nonzero(sig[x] != sig[y], axis=1) <= MOST_DIFFERENT
+        x, y = x[ok], y[ok]
+        if len(x):
+            first = (own[x] == own[y]).argmax(axis=1)
+            ok = own[x, first] == key[x]
+            for a, b in zip(x[ok].tolist(), y[ok].tolist()):
+                if can_reach(as_number(a), 8 * len(held["s"][order[a]]), int(n[a]), as_number(b), 8 * len(held["s"][order[b]]), int(n[b]), percent):
+                    yield int(ids[a]), int(ids[b])
 
 
 def _apart(rows: DataFrame, percent: int, closest: bool, block: int) -> DataFrame:
     """(a, b): pairs of a bucket that lie in different components, within the distance.
 
-    ``rows``: key, id, comp, n, sig and, for all pairs, the sketch s.  With ``closest`` only a spanning forest of
+    ``rows``: key, id, comp, n, sig and, for all pairs, the bit map s.  With ``closest`` only a spanning forest of
     each bucket; else all, each written where its first shared key is.  A bucket
     of more than ``block`` rows is dealt as pairs of blocks, for the forest as
     blocks with their neighbours.
@@ -265,44 +351,50 @@ def _apart(rows: DataFrame, percent: int, closest: bool, block: int) -> DataFram
     if closest:
         others = F.array_distinct(F.array("mine", (F.col("mine") + 1) % F.col("blocks"), F.pmod(F.col("mine") - 1, F.col("blocks"))))
     spread = spread.withColumn("other", F.explode(others))
+    numbers = ("key", "i", "j", "mine", "id", "comp", "n")
     spread = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "comp", "n", "sig", *([] if closest else ["s"]))
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
         import pyarrow as pa
 
-        def settle(at, held):
-            ids, comp, n, mine = (np.array([r[c] for r in held]) for c in ("id", "comp", "n", "mine"))
-            if len(held) < 2 or (comp == comp[0]).all():
-                return
-            sig = np.frombuffer(b"".join(r["sig"] for r in held), "<u2").reshape(-1, SLOTS)
+        def settle(table):
+            held = {c: table.column(c).to_numpy() for c in numbers}
+            held["bucket"] = np.cumsum(_new_bucket(held))
+            held["same"] = held["i"] == held["j"]
+            held["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, SLOTS)
             if closest:
-                yield from _closest(ids, comp, n, sig, percent)
-            else:
-                more = unpacked([r["s"] for r in held])
-                yield from _all_apart(*at, mine, ids, comp, n, sig, more, percent)
+                return _forests(held, percent)
+            held["s"] = table.column("s").to_pylist()
+            return _all_apart(held, percent)
+
+        def _new_bucket(held):
+            return np.concatenate([[False], (held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])])
 
-        def buckets():
-            at, held = None, []
+        def whole_buckets():
+            held, count = [], 0
             for batch in batches:
-                for start in range(0, batch.num_rows, 1000):
-                    for r in batch.slice(start, 1000).to_pylist():
-                        k = (r["key"], r["i"], r["j"])
-                        if k != at:
-                            if held:
-                                yield at, held
-                            at, held = k, []
-                        held.append(r)
-            if held:
-                yield at, held
+                for start in range(0, batch.num_rows, 4000):
+                    held.append(batch.slice(start, 4000))
+                    count += held[-1].num_rows
+                    if count < ROWS:
+                        continue
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    last = np.flatnonzero(_new_bucket({c: table.column(c).to_numpy() for c in ("key", "i", "j")}))
+                    if len(last):
+                        yield table.slice(0, int(last[-1]))
+                        table = table.slice(int(last[-1]))
+                    held, count = table.to_batches(), table.num_rows
+            if count:
+                yield pa.Table.from_batches(held).combine_chunks()
 
         def flush(out):
             a, b = zip(*out)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         out = []
-        for at, held in buckets():
-            for a, b in settle(at, held):
+        for table in whole_buckets():
+            for a, b in settle(table):
                 out.append((a, b) if a < b else (b, a))
                 if len(out) >= 5000:
                     yield flush(out)
@@ -314,40 +406,47 @@ def _apart(rows: DataFrame, percent: int, closest: bool, block: int) -> DataFram
 
 
 def near_documents(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document.
+    """doc_id, n_shingles, component_id, kept, text_hash of every document.
 
     Links documents with 100 * intersection >= percent * union of their sets;
     null, empty and wordless texts have no shingles and link with nothing.
     Repeated rows link with each other, and the row of the smallest doc_id is
-    kept (its repeats too, as they share that id).  Other columns are ignored.
+    kept (its repeats too, as they share that id).  Rows that share a doc_id but
+    not the text are documents of their own.  A null doc_id is larger than all
+    others: a group of such rows only has a null component_id, and all of them
+    are kept.  text_hash (xxhash64 of the text) tells rows of one doc_id apart.
+    Other columns are ignored, whatever their names.
     """
+    with scope() as keep:
+        return keep(_near_documents(docs, percent, block))
+
+
+def _near_documents(docs: DataFrame, percent: int, block: int) -> DataFrame:
     rows = materialise(sketches(docs))
-    some = rows.where("sig is not null")
-    classes = materialise(some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")))
-    # A class is known by the smallest doc_id in it; should texts share a doc_id, by the first of their classes.
-    reps = classes.groupBy(F.col("rep").alias("id")).agg(F.min_by(F.struct(F.col("n_shingles").alias("n"), "sig"), F.struct("n_shingles", "h1", "h2")).alias("s")).select("id", "s.n", "s.sig")
-    index = _expanded(reps)
+    grouped = rows.where("sig is not null").groupBy(F.col("n_shingles").alias("n"), "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = materialise(grouped.withColumn("id", F.monotonically_increasing_id()))
+    index = _expanded(classes)
     shared = index.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).where("c > 1").select(F.col("key").alias("k"), "low")
     members = materialise(index.join(shared, F.col("key") == F.col("k")).select("key", "id", "low"))
-    signed = materialise(reps.select(F.col("id").alias("i"), "n", "sig"))
     # First each class with the smallest of its buckets, then the closest across what is still apart.
     close = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    seen = materialise(_within(close, signed, percent))
-    links = _confirmed(docs, seen, percent)
-    rest = None
+    seen = materialise(_within(close, classes, percent))
+    links = _confirmed(docs, classes, seen, percent)
     for closest in (True, False):
         comp = materialise(components(links))
         placed = members.join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
+        signed = classes.select(F.col("id").alias("i"), "n", "sig")
         rest = materialise(placed.join(mixed, F.col("key") == F.col("k"), "left_semi").join(signed, F.col("id") == F.col("i")).select("key", "id", "comp", "n", "sig"))
         if not closest:
-            sketched = materialise(_again(docs, rest.select("id"), sketch, "binary"))
-            rest = rest.join(sketched, "id")
+            rest = rest.join(materialise(_again(docs, classes, rest.select("id"), bit_map, "binary")), "id")
         found = materialise(_apart(rest, percent, closest, block).distinct().join(seen, ["a", "b"], "left_anti"))
-        links = links.unionAll(_confirmed(docs, found, percent))
+        links = links.unionAll(_confirmed(docs, classes, found, percent))
         seen = seen.unionAll(found)
-    whole = components(links)
-    known = classes.join(whole, F.col("rep") == F.col("node"), "left").select(F.col("n_shingles").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "rep").alias("component_id"))
+    placed = materialise(classes.join(components(links), F.col("id") == F.col("node"), "left").select("rep", F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "id").alias("comp")))
+    lowest = placed.groupBy(F.col("comp").alias("_c")).agg(F.min("rep").alias("low"))
+    known = placed.join(lowest, F.col("comp") == F.col("_c")).select("_n", "_h1", "_h2", "low")
     out = rows.join(known, (F.col("n_shingles") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & F.col("sig").isNotNull(), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("sig").isNotNull(), F.col("low")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
