@@ -9,49 +9,42 @@ words of a bounded, keyed sample of each language's training rows.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import crc_mod, hash_fraction, map_rows, pick
+from tessera.llm._shared import by_place, crc_mod, hash_fraction, map_rows, pick
 
 #: Training rows that the fit sees at most, in expectation: in a language, and in all.
 PER_LANGUAGE, IN_ALL = 300, 3000
-LONGEST_PIECE = 6
-#: Letters of a run that are segmented together; longer runs are scored in parts of so many.
-LONGEST_RUN = 40
 ROUNDS = 3
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES, CACHE_BYTES = 400_000, 1 << 26
 FLOOR = 1e-9
+#: Letters up to which a word's probability surely stays above the smallest number; longer words are rescaled at each letter.
+UNSCALED = 24
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+# A letter, and the letters and marks that follow it.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _START = "▁"
 
 
-def vocabulary(path: str, longest: int = LONGEST_PIECE) -> list[str]:
-    """The vocabulary's pieces of letters, in lower case; a word's first may carry the start mark."""
+def vocabulary(path: str) -> list[str]:
+    """The vocabulary's pieces of letters and marks, in lower case; a word's first may carry the start mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = set()
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
-        if len(piece) <= longest and (piece == _START or piece.removeprefix(_START).isalpha()):
+        if piece == _START or regex.fullmatch(r"[\p{L}\p{M}]+", piece.removeprefix(_START)):
             found.add(piece)
     return sorted(found)
 
 
 def words(text: str | None) -> list[str]:
     """The lower-cased runs of letters, each with the start mark."""
-    out = []
-    for run in _LETTERS.findall(text.lower()) if text else ():
-        if len(run) <= LONGEST_RUN:
-            out.append(_START + run)
-        else:
-            out += [(_START if i == 0 else "") + run[i : i + LONGEST_RUN] for i in range(0, len(run), LONGEST_RUN)]
-    return out
+    return [_START + run for run in _LETTERS.findall(text.lower())] if text else []
 
 
 class Segmenter:
@@ -64,6 +57,7 @@ class Segmenter:
 
     def __init__(self, pieces: list[str]):
         self.unknown, self.none = len(pieces), len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
         hashes = np.zeros(len(pieces), np.uint64)
         for i, piece in enumerate(pieces):
             h = 0
@@ -80,11 +74,11 @@ class Segmenter:
         return np.where(self._hashes[at] == h, self._order[at], np.int32(self.none))
 
     def ids(self, group: list[str], n: int) -> np.ndarray:
-        """(words, n, LONGEST_PIECE): the piece that starts at each place with each length."""
-        points = np.frombuffer("".join(group).encode("utf-32-le"), "<u4").reshape(len(group), n).astype(np.uint64) + np.uint64(1)
-        out = np.full((len(group), n, LONGEST_PIECE), self.none, np.int32)
+        """(words, n, longest): the piece that starts at each place with each length."""
+        points = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(group), n).astype(np.uint64) + np.uint64(1)
+        out = np.full((len(group), n, min(self.longest, n)), self.none, np.int32)
         h = np.zeros((len(group), n), np.uint64)
-        for k in range(min(LONGEST_PIECE, n)):
+        for k in range(out.shape[2]):
             h = (h[:, : n - k] + points[:, k:]) * self._STEP
             h ^= h >> np.uint64(29)
             out[:, : n - k, k] = self._find(h)
@@ -92,39 +86,55 @@ class Segmenter:
         return out
 
     def by_length(self, found: list[str]):
+        """(length, places of words of it), a bounded number of letters together."""
         groups: dict[int, list[int]] = {}
         for at, w in enumerate(found):
             groups.setdefault(len(w), []).append(at)
         for n, at in groups.items():
-            for k in range(0, len(at), 4096):
-                yield n, at[k : k + 4096]
+            step = max(1, min(4096, 100_000 // n))
+            for k in range(0, len(at), step):
+                yield n, at[k : k + step]
 
 
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """(words, n + 1, languages): probabilities of all segmentations of each prefix. p: (pieces + 2, languages)."""
-    m, n, longest = ids.shape
-    alpha = np.zeros((m, n + 1, p.shape[1]))
-    alpha[:, 0] = 1
-    for j in range(1, n + 1):
-        for k in range(1, min(longest, j) + 1):
-            alpha[:, j] += alpha[:, j - k] * p[ids[:, j - k, k - 1]]
-    return alpha
-
+    """(words, languages): log-probabilities of the words, summed over all their segmentations. p: (pieces + 2, languages).
 
-def _expected(ids: np.ndarray, weight: np.ndarray, p: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-    """Expected numbers of pieces in the words, for one language."""
+    Only the sums of prefixes that a piece can still continue are kept.
+    """
     m, n, longest = ids.shape
-    beta = np.zeros((m, n + 1))
-    beta[:, n] = 1
-    for i in range(n - 1, -1, -1):
-        for k in range(1, min(longest, n - i) + 1):
-            beta[:, i] += p[ids[:, i, k - 1]] * beta[:, i + k]
-    counts = np.zeros(len(p))
-    scale = weight / np.maximum(alpha[:, n], 1e-300)
+    ahead = np.zeros((m, longest + 1, p.shape[1]))  # sums of the prefixes that end at this letter and the next ones
+    ahead[:, 0] = 1
+    logs = np.zeros((m, p.shape[1]))
     for i in range(n):
-        for k in range(1, min(longest, n - i) + 1):
-            at = ids[:, i, k - 1]
-            counts += np.bincount(at, alpha[:, i] * p[at] * beta[:, i + k] * scale, minlength=len(p))
+        if n > UNSCALED:
+            scale = ahead.max(axis=1)
+            ahead /= scale[:, None]
+            logs += np.log(scale)
+        k = min(longest, n - i)
+        here = ahead[:, :1] * p[ids[:, i, :k]]
+        ahead[:, :-1] = ahead[:, 1:]
+        ahead[:, -1] = 0
+        ahead[:, :k] += here
+    return logs + np.log(ahead[:, 0])
+
+
+def _expected(ids: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected numbers of pieces in the words, for one language, by logarithms forward and backward."""
+    m, n, longest = ids.shape
+    with np.errstate(divide="ignore"):
+        logs = np.log(p)
+    before, after = np.full((m, n + 1), -np.inf), np.full((m, n + 1), -np.inf)
+    before[:, 0] = after[:, n] = 0
+    for i in range(n):
+        k = min(longest, n - i)
+        before[:, i + 1 : i + 1 + k] = np.logaddexp(before[:, i + 1 : i + 1 + k], before[:, i : i + 1] + logs[ids[:, i, :k]])
+    counts = np.zeros(len(p))
+    for i in range(n - 1, -1, -1):
+        k = min(longest, n - i)
+        each = logs[ids[:, i, :k]] + after[:, i + 1 : i + 1 + k]
+        after[:, i] = np.logaddexp.reduce(each, axis=1)
+        share = np.exp(each + before[:, i : i + 1] - before[:, n:]) * weight[:, None]
+        counts += np.bincount(ids[:, i, :k].ravel(), share.ravel(), minlength=len(p))
     return counts
 
 
@@ -144,7 +154,7 @@ class Model:
             for _ in range(ROUNDS):
                 counts = np.full(size, 0.1)
                 for ids, weight in groups:
-                    counts += _expected(ids, weight, p, forward(ids, p[:, None])[:, :, 0])
+                    counts += _expected(ids, weight, p)
                 p = self._normed(counts)
             table[:, column] = p
         self.table = table
@@ -167,18 +177,18 @@ class Scorer:
     def _reset(self):
         self.at: dict[bytes, int] = {}
         self.rows = np.zeros((1024, len(self.model.languages) + 1))  # the last column counts the letters' runs
-        self.used = 0
+        self.used = self.held = 0
 
     def _learn(self, runs: list[bytes]) -> None:
         found, owner = [], []
         for k, run in enumerate(runs):
-            for w in words(run.decode()):
+            for w in words(run.decode(errors="replace")):
                 found.append(w)
                 owner.append(k)
         logs = np.zeros((len(found), self.rows.shape[1]))
         for n, at in self.segment.by_length(found):
             ids = self.segment.ids([found[i] for i in at], n)
-            logs[at, :-1] = np.log(np.maximum(forward(ids, self.model.table)[:, n], 1e-300))
+            logs[at, :-1] = forward(ids, self.model.table)
         logs[:, -1] = 1
         need = self.used + len(runs)
         if need > len(self.rows):
@@ -186,13 +196,14 @@ class Scorer:
         np.add.at(self.rows, self.used + np.array(owner, np.int64), logs)
         self.at.update(zip(runs, range(self.used, need)))
         self.used = need
+        self.held += sum(map(len, runs))
 
     def __call__(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         lang, score = [], []
         for start in range(0, len(texts), 200):
             part = [(t.lower().split() if t else []) for t in texts[start : start + 200]]
             new = list(set().union(*part) - self.at.keys())
-            if self.used + len(new) > CACHE_ENTRIES and self.used:
+            if self.used and (self.used + len(new) > CACHE_ENTRIES or self.held > CACHE_BYTES):
                 self._reset()
                 new = list(set().union(*part))
             if new:
@@ -270,17 +281,23 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(rows, make, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def annotated(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` in all its columns, with _lang and _score: for filters, without a join back."""
+def confident(docs: DataFrame, model: Model, sure: float) -> DataFrame:
+    """The rows of ``docs``, in all their columns, whose likeliest language has ``sure`` of the probability.
+
+    Texts that are null or have no letter go.  A filter in place: nothing is
+    joined back, repeated rows and other columns, whatever their names, pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+    placed, _, back = by_place(docs)
 
     def run(batches):
         import pyarrow as pa
 
         scorer = Scorer(shared.value)
         for batch in batches:
-            lang, score = scorer([t.encode() if t is not None else None for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "_lang", "_score"])
+            lang, score = scorer([t.encode() if t is not None else None for t in batch.column(place).to_pylist()])
+            keep = [one != "und" and s >= sure for one, s in zip(lang, score)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    schema = docs.limit(0).withColumn("_lang", F.lit("")).withColumn("_score", F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+    return placed.mapInArrow(run, placed.schema).select(*back)
