@@ -19,7 +19,7 @@ from itertools import count as numbers_from
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import discard, materialise
+from tessera.llm._shared import by_place, discard, materialise
 
 # Forms of address and the gender that they tell.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "г-н", "κύριος")
@@ -34,6 +34,9 @@ GIVEN = {
     ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Μάριος Νίκος Πέτρος Σπύρος",
     ("greek", "f"): "Άννα Βασιλική Ελένη Ζωή Ιωάννα Μαρία Σοφία Χριστίνα",
 }
+# Further given names that tell a gender.
+MALE_NAMES = "James John Michael David William Richard Joseph Charles Peter Hans Klaus Jürgen Wolfgang Pierre Jean Jacques Michel José Juan Carlos Luis Miguel Antonio Javier"
+FEMALE_NAMES = "Mary Linda Susan Elizabeth Karen Nancy Sarah Margaret Alice Ruth Ingrid Ursula Heike Marie Claire Sophie Camille Carmen Isabel Pilar Dolores"
 SYLLABLES = {
     "latin": "bar bel cor dan del fen gar hal ker lan lor mar mel nor pel ran ros sel tan tor val ven wal zor",
     "cyrillic": "бар вел гор дан зор кар лен мар нов пет рад сав тим фед",
@@ -47,7 +50,12 @@ _IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-_PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])"
+_PHONE = (
+    r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
+    r"|(?<![0-9A-Za-z])\+(?=(?:[ .()-]*[0-9]){8,15}(?![0-9]))[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-][0-9]{2,8}){1,5}(?![0-9])"
+    r"|(?<![0-9A-Za-z.+-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9.-])"
+    r"|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])"
+)
 _TITLES = "|".join(MALE + FEMALE + EITHER)
 _NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}}){{0,2}}"
 
@@ -55,7 +63,7 @@ _NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{
 FORMS = (("email", _EMAIL), ("secret", _SECRET), ("ip", _IP), ("ssn", _SSN), ("card", _CARD), ("iban", _IBAN), ("phone", _PHONE), ("name", _NAME))
 PATTERN = "|".join(f"(?:{p})" for _, p in FORMS)
 #: What a text must hold to be searched at all.
-_HINT = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}|[=:] ?[\"']"
+_HINT = rf"[0-9@]|(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}|[=:] ?[\"']|AKIA|sk-|gh[pousr]_|[a-f]{{32}}|[A-F]{{32}}"
 
 #: From this draw on, a surrogate is longer than the original by two digits more a draw.
 _LONGER = 4
@@ -166,8 +174,10 @@ def _given(title: Column, word: Column, key: str, draw: int) -> Column:
         return _family(word, key, draw)
     h, script = _word_hash(word, key, draw), _script(word)
     bare = F.regexp_replace(title, r"\.? $", "")
-    gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("")
-    sex = F.when(gender != "", gender).when(_number(h, 9) % 2 == 0, "m").otherwise("f")
+    known = {sex: " ".join([more, *(names for (_, s), names in GIVEN.items() if s == sex)]).split() for sex, more in (("m", MALE_NAMES), ("f", FEMALE_NAMES))}
+    # By the title, else the name itself, else its ending; what tells nothing gets either.
+    sex = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").when(word.isin(*known["m"]), "m").when(word.isin(*known["f"]), "f")
+    sex = sex.when(word.rlike("[aàáаяαάηή]$"), "f").when(word.rlike("[oоςйό]$"), "m").otherwise(F.when(_number(h, 9, 4) % 2 == 0, "m").otherwise("f"))
     return reduce(lambda rest, g: F.when((script == g[0][0]) & (sex == g[0][1]), _pool(g[1], _number(h, 0, 4))).otherwise(rest), GIVEN.items(), F.lit(""))
 
 
@@ -233,31 +243,44 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     return parts.where("kind <> 'family'").unionAll(full.select("kind", "normal", "core"))
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, h (of the text), pos, raw, kind, normal of every entity in every whole text."""
-    found = docs.where(F.col("text").rlike(_HINT)).select("doc_id", F.xxhash64("text").alias("h"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("e")).where(F.size("e") > 0)
-    each = found.select("doc_id", "h", F.posexplode("e").alias("pos", "raw")).withColumn("kind", _kind(F.col("raw")))
+def tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` by place (`by_place`) with _row and _e: the entities in the order of the text; null or empty where there are none.
+
+    Every text is searched here, once; the frame is written, so what follows reads the marks.
+    """
+    placed, at, _ = by_place(docs)
+    found = F.when(at("text").rlike(_HINT), F.regexp_extract_all(at("text"), F.lit(PATTERN), F.lit(0)))
+    return materialise(placed.withColumn("_e", found).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def occurrences(marked: DataFrame) -> DataFrame:
+    """_row, pos, raw, kind, normal of every entity in `tagged` texts."""
+    each = marked.where(F.size("_e") > 0).select("_row", F.posexplode("_e").alias("pos", "raw")).withColumn("kind", _kind(F.col("raw")))
     return each.withColumn("normal", _normal(F.col("kind"), F.col("raw")))
 
 
 def pseudonymise(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
     """``docs`` with every detected entity replaced in ``text`` (and n_chars, if there, following it).
 
-    Keeps all columns, and adds one named ``count`` with the number of entities
-    if asked for.  Null and empty texts stay as they are; repeated rows are
-    replaced alike.  Columns must differ by more than case.
+    Keeps all columns, whatever their names, and adds one named ``count`` with
+    the number of entities if asked for.  Null and empty texts stay as they are;
+    repeated rows are replaced alike; an empty table stays empty.  Texts are
+    searched once and as a whole; only those with entities are shuffled.
     """
-    names = docs.columns
-    occurrences = materialise(detect(docs))
-    table = surrogates(occurrences, key).select(F.col("kind").alias("k"), F.col("normal").alias("n"), "core")
-    placed = occurrences.join(table, (F.col("kind") == F.col("k")) & (F.col("normal") == F.col("n"))).withColumn("out", _rendered(F.col("kind"), F.col("raw"), F.col("core")))
-    whole = placed.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_set(F.struct("pos", "out"))).alias("_r"))
-    has = F.coalesce(F.col("text").rlike(_HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    clean = docs.where(~has)
-    met = docs.where(has).join(whole, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")))
-    between = F.split("text", PATTERN, -1)
-    text = F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(F.col("_r"), i)["out"], F.lit("")))), "")
-    done = met.withColumn("_t", text)
-    columns = [F.col("_t").alias("text") if c == "text" else F.length("_t").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names]
+    marked = tagged(docs)
+    _, at, back = by_place(docs)
+    text = at("text")
+    found = materialise(occurrences(marked))
+    table = surrogates(found, key).select(F.col("kind").alias("k"), F.col("normal").alias("n"), "core")
+    placed = found.join(table, (F.col("kind") == F.col("k")) & (F.col("normal") == F.col("n"))).withColumn("out", _rendered(F.col("kind"), F.col("raw"), F.col("core")))
+    whole = placed.groupBy(F.col("_row").alias("_d")).agg(F.sort_array(F.collect_list(F.struct("pos", "out"))).alias("_r"))
+    has = F.coalesce(F.size("_e"), F.lit(0)) > 0
+    met = marked.where(has).join(whole, F.col("_row") == F.col("_d"))
+    between = F.split(text, PATTERN, -1)
+    done = met.withColumn("_t", F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(F.col("_r"), i)["out"], F.lit("")))), ""))
+    new = list(back)
+    new[docs.columns.index("text")] = F.col("_t").alias("text")
+    if "n_chars" in docs.columns:
+        new[docs.columns.index("n_chars")] = F.length("_t").cast(dict(docs.dtypes)["n_chars"]).alias("n_chars")
     extra = ([F.size("_r").cast("long").alias(count)], [F.lit(0).cast("long").alias(count)]) if count else ([], [])
-    return done.select(*columns, *extra[0]).unionAll(clean.select(*names, *extra[1]))
+    return done.select(*new, *extra[0]).unionAll(marked.where(~has).select(*back, *extra[1]))

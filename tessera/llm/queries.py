@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import oracles
-
+from tessera.llm._shared import pick
 
 #: The key of the surrogates; in production a secret from the caller's own store.
 SURROGATE_KEY = "documents"
@@ -52,7 +52,7 @@ def op4_quality_rules(spark, sf_dir):
 def op5_pii_surrogates(spark, sf_dir):
     from tessera.llm.pii import pseudonymise
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = pick(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return pseudonymise(docs, SURROGATE_KEY, count="n_entities")
 
 
@@ -80,7 +80,7 @@ def op9_mixing(spark, sf_dir):
     from tessera.llm.mixing import mix, sized
 
     out, _ = mix(sized(_table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op10_best_fit_packing(spark, sf_dir):
