@@ -12,6 +12,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from tessera.llm.quality_model import labelled
 
 #: Labelled rows that the fit sees at most, in expectation; chosen by a hash of the key.
 SAMPLE = 8000
-#: Distinct words that a sampled text contributes to the lexicon's counts: all of them, whatever their number.
-LEXICON = 200
+#: Toxic texts of the sample that a word of the lexicon is in at least: so the sample bounds the lexicon.
+LEAST_TEXTS = 5
 
 # Insults of everyday use and second-person words of four languages.
 INSULTS = "idiot stupid moron loser scum trash pathetic worthless disgusting clown dumb jerk imbecile idiota estupido imbécile connard idioten dumm"
@@ -31,7 +32,8 @@ STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-*_]){2,}[^\W\d_](?!\w)")
-_SHOUTED = re.compile(r"\b[A-Z]{3,}\b")
+_UPPER, _SHOUTED = regex.compile(r"\p{Lu}"), regex.compile(r"\b\p{Lu}{3,}\b")
+_ASCII_UPPER = bytes(range(65, 91))
 _TABLE = str.maketrans(STAND_INS)
 _SECOND = frozenset(SECOND.split())
 _INSULTS = frozenset(INSULTS.split())
@@ -75,26 +77,26 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
             near_strong += gap <= 5 and lexicon[w] >= 3
     letters = sum(map(len, words)) or 1
     raw = text.encode()
-    upper = len(raw) - len(raw.translate(None, bytes(range(65, 91))))
+    upper = len(raw) - len(raw.translate(None, _ASCII_UPPER)) if len(raw) == len(text) else len(_UPPER.findall(text))
     marks = len(raw) - len(raw.translate(None, b"!?.,;:"))
     exclaims = raw.count(b"!")
     stars = len(raw) - len(raw.translate(None, b"*#@$%"))
-    shouted = len(_SHOUTED.findall(text)) if upper else 0
+    shouted = len(_SHOUTED.findall(text)) if upper > 2 else 0
     return [
         float(len(hits)), len(hits) / n, len(strong) / n, float(len(known)), sum(lexicon[w] for _, w in hits), float(len(hidden)), len(hidden) / n, len(second) / n,
         float(near), float(near_strong), upper / letters, shouted / n, marks / n, exclaims / n, stars / n, odd / n, 1 - len(kinds) / n, float(np.log1p(len(words))),
     ]
 
 
-def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, size: int = LEXICON) -> dict[str, float]:
-    """Words by log-odds of their document counts (word, in toxic, in clean); the fixed list always counts."""
-    scored = []
+def learn_lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Words by log-odds of their document counts (word, in toxic, in clean): all that surely tell; the fixed list always counts."""
+    found = {w: 3.0 for w in _INSULTS}
     for word, t, c in counts:
         odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
         sure = odds - 1.64 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))  # lower bound of its interval
-        if t >= 5 and sure > 1:
-            scored.append((sure, word, float(odds)))
-    return {w: 3.0 for w in _INSULTS} | {w: o for _, w, o in sorted(scored, reverse=True)[:size]}
+        if t >= LEAST_TEXTS and sure > 1:
+            found[word] = float(odds)
+    return found
 
 
 class Trees:
@@ -181,13 +183,13 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns ``toxic`` from rows whose crc32(doc_id) mod 4 is not 2."""
-    rows = labelled(docs, labels, "toxic", 4, 2, sample, 8).select(F.col("text").cast("string").alias("text"), F.when(F.col("y") == 1, 1).otherwise(0).alias("y"))
+    rows = labelled(docs, labels, "toxic", 4, 2, sample, 8).select(F.col("text").cast("string").alias("text"), F.when(F.col("y") == 1, 1).otherwise(0).alias("y"), "k")
 
     def counted():
         def step(cols):
             seen = [Counter(), Counter()]
             n = [0, 0]
-            for text, y in zip(*cols):
+            for text, y in zip(*cols[:2]):
                 n[y] += 1
                 seen[y].update({w.lower() for w in _PLAIN.findall(text or "")})
             words = list(seen[0] | seen[1])
@@ -195,19 +197,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         return step
 
-    # Words found in five toxic texts at least can enter the lexicon; the rest never reach the driver.
+    # Words found in too few toxic texts cannot enter the lexicon and never reach the driver.
     sums = map_rows(rows, counted, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    got = sums.where("t >= 5 or word = ''").toArrow().to_pylist()
+    got = sums.where(f"t >= {LEAST_TEXTS} or word = ''").toArrow().to_pylist()
     whole = next((r for r in got if r["word"] == ""), {"t": 0, "c": 0})
     lexicon = learn_lexicon([(r["word"], r["t"], r["c"]) for r in got if r["word"]], whole["t"], whole["c"])
 
     def dense():
         def step(cols):
-            return [features(t, lexicon) for t in cols[0]], cols[1]
+            return [features(t, lexicon) for t in cols[0]], cols[1], cols[2]
 
         return step
 
-    table = map_rows(rows, dense, "x array<double>, y int").toArrow()
+    table = map_rows(rows, dense, "x array<double>, y int, k long").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
     x = np.array(table.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return Model(lexicon, x, np.array(table.column("y").to_pylist(), int))
 
@@ -216,7 +218,7 @@ def toxicity_scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     """doc_id, held_out, score, predicted of every whole text.
 
     Null and empty texts get the score of zero features.  Repeated rows give
-    repeated rows; other columns are ignored.
+    repeated rows; other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded lexicon and trees
 
