@@ -26,7 +26,7 @@ MISS = 0.002
 #: Signs that a pair at the threshold may differ in, in standard deviations above their mean: 1 of 10^9 pairs differs in more.
 DEVIATIONS = 6
 #: Signs of a code at least.
-LEAST_SIGNS = 96
+LEAST_SIGNS = 256
 #: Classes of the largest label that a bucket holds on average, were they spread evenly.
 IN_BUCKET = 64
 #: Rows of a block; a bucket of more rows is dealt as pairs of blocks.
