@@ -159,23 +159,39 @@ def category(name: str) -> CharClass:
     return CharClass(f"\\p{{{GROUPS.get(name, name)}}}")
 
 
-def _ranges(test) -> str:
-    """The code points that pass a test, as class items: built from the rule, once."""
-    out, start = [], None
-    for c in range(_TOP + 2):
-        hit = c <= _TOP and not 0xD800 <= c <= 0xDFFF and test(chr(c))
-        if hit and start is None:
-            start = c
-        elif not hit and start is not None:
-            out.append(_quoted(start) if c - 1 == start else f"{_quoted(start)}-{_quoted(c - 1)}")
-            start = None
-    return "".join(out)
+@lru_cache(None)
+def _bidi_runs() -> list[tuple[int, int, str]]:
+    """(first, last, class) of the runs of code points of one bidirectional class, read once."""
+    out: list[tuple[int, int, str]] = []
+    for c in range(_TOP + 1):
+        kind = "" if 0xD800 <= c <= 0xDFFF else unicodedata.bidirectional(chr(c))
+        if out and out[-1][2] == kind:
+            out[-1] = (out[-1][0], c, kind)
+        else:
+            out.append((c, c, kind))
+    return out
+
+
+def _items(spans) -> str:
+    """Class items of spans (first, last) of code points in rising order, touching ones joined."""
+    joined: list[tuple[int, int]] = []
+    for a, b in spans:
+        if joined and joined[-1][1] + 1 == a:
+            joined[-1] = (joined[-1][0], b)
+        else:
+            joined.append((a, b))
+    return "".join(_quoted(a) if a == b else f"{_quoted(a)}-{_quoted(b)}" for a, b in joined)
+
+
+#: Groups of bidirectional classes.
+BIDI_GROUPS = {"strong": ("L", "R", "AL"), "weak": ("EN", "ES", "ET", "AN", "CS", "NSM", "BN"), "neutral": ("B", "S", "WS", "ON"), "explicit": ("LRE", "LRO", "RLE", "RLO", "PDF", "LRI", "RLI", "FSI", "PDI")}
 
 
 @lru_cache(None)
 def bidi(name: str) -> CharClass:
-    """Characters of a bidirectional class such as L, R, AL, EN, WS."""
-    found = _ranges(lambda c: unicodedata.bidirectional(c) == name)
+    """Characters of a bidirectional class such as L, R, AL, EN, WS, or of a group: strong, weak, neutral, explicit."""
+    wanted = BIDI_GROUPS.get(name, (name,))
+    found = _items((a, b) for a, b, kind in _bidi_runs() if kind in wanted)
     if not found:
         raise ValueError(f"no bidirectional class {name!r}")
     return CharClass(found)
@@ -201,17 +217,28 @@ _FIXED_PROPERTIES = {
     "ids_binary_operator": "\\x{2FF0}\\x{2FF1}\\x{2FF4}-\\x{2FFB}",
     "ids_trinary_operator": "\\x{2FF2}\\x{2FF3}",
     "logical_order_exception": "\\x{E40}-\\x{E44}\\x{EC0}-\\x{EC4}\\x{19B5}-\\x{19B7}\\x{19BA}\\x{AAB5}\\x{AAB6}\\x{AAB9}\\x{AABB}\\x{AABC}",
-    "soft_dotted_latin": "ij\\x{12F}\\x{249}\\x{268}\\x{29D}\\x{2B2}",
 }
 
 
+@lru_cache(None)
 def binary_property(name: str) -> CharClass:
-    """A binary property of the standard by its lower-case name."""
+    """A binary property of the standard by its lower-case name: the JVM's own, or built from the characters that have it."""
     if name in _JAVA_PROPERTIES:
         return CharClass(_JAVA_PROPERTIES[name])
     if name in _FIXED_PROPERTIES:
         return CharClass(_FIXED_PROPERTIES[name])
-    raise ValueError(f"no binary property {name!r}")
+    import regex
+
+    try:
+        found = regex.compile(f"\\p{{{name}}}+")
+    except regex.error:
+        raise ValueError(f"no binary property {name!r}") from None
+    points = "".join(map(chr, [*range(0xD800), *range(0xE000, _TOP + 1)]))
+    spans = []
+    for m in found.finditer(points):
+        first, last = ord(m.group()[0]), ord(m.group()[-1])
+        spans += [(first, 0xD7FF), (0xE000, last)] if first < 0xD800 <= last else [(first, last)]
+    return CharClass(_items(spans)) if spans else no_char()
 
 
 def script(name: str) -> CharClass:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -155,8 +156,18 @@ def sign(x: Column, negative: str = "-", positive: str = "") -> Column:
     return F.when(x < 0, F.lit(negative)).otherwise(F.lit(positive))
 
 
-#: Starts of the decimal digits of some scripts; each has ten in a row.
-NUMERALS = {"latin": 0x30, "arabic": 0x660, "extended_arabic": 0x6F0, "devanagari": 0x966, "bengali": 0x9E6, "gurmukhi": 0xA66, "gujarati": 0xAE6, "oriya": 0xB66, "tamil": 0xBE6, "telugu": 0xC66, "kannada": 0xCE6, "malayalam": 0xD66, "thai": 0xE50, "lao": 0xED0, "tibetan": 0xF20, "myanmar": 0x1040, "khmer": 0x17E0, "mongolian": 0x1810, "limbu": 0x1946, "new_tai_lue": 0x19D0, "tai_tham": 0x1A80, "balinese": 0x1B50, "sundanese": 0x1BB0, "lepcha": 0x1C40, "ol_chiki": 0x1C50, "vai": 0xA620, "saurashtra": 0xA8D0, "kayah_li": 0xA900, "javanese": 0xA9D0, "cham": 0xAA50, "meetei_mayek": 0xABF0, "fullwidth": 0xFF10, "osmanya": 0x104A0, "brahmi": 0x11066, "mathematical_bold": 0x1D7CE, "double_struck": 0x1D7D8, "sans_serif": 0x1D7E2, "monospace": 0x1D7F6, "adlam": 0x1E950, "segmented": 0x1FBF0}
+def _numerals() -> dict[str, int]:
+    """Starts of all decimal digits of the standard, by their names: ten in a row from each digit zero on."""
+    found = {"latin": 0x30}
+    for c in range(0x80, 0x110000):
+        if unicodedata.decimal(chr(c), None) == 0 and unicodedata.category(chr(c)) == "Nd":
+            name = unicodedata.name(chr(c)).removesuffix(" ZERO").removesuffix(" DIGIT").lower()
+            found[name.replace("mathematical ", "").replace("-", "_").replace(" ", "_")] = c
+    # Shorter names of some.
+    return found | {"arabic": 0x660, "extended_arabic": 0x6F0, "segmented": 0x1FBF0}
+
+
+NUMERALS = _numerals()
 
 
 def numerals(s: Column, system: str) -> Column:
@@ -184,15 +195,30 @@ def fixed(x: Column, precision: int = 0, base: int = 10, padding: int = 0, separ
 
 
 def scientific(x: Column, precision: int = 3, significant: int = 1, marker: str = "e") -> Column:
-    """Mantissa with ``significant`` digits before the point, and exponent."""
+    """Mantissa with ``significant`` digits before the point, and exponent; rounded half away from zero.
+
+    Works on the decimal digits that the number shows, so no power of ten is
+    divided by and ties are ties.
+    """
     value = x.cast("double")
-    size = F.abs(value)
-    exponent = F.when(size > 0, F.floor(F.log10(size)) - (significant - 1)).otherwise(F.lit(0))
-    mantissa = F.when(size > 0, value / F.pow(F.lit(10.0), exponent)).otherwise(value)
-    over = F.round(F.abs(mantissa), precision) >= 10**significant
-    exponent = F.when(over, exponent + 1).otherwise(exponent)
-    mantissa = F.when(over, mantissa / 10).otherwise(mantissa)
-    return F.concat(fixed(mantissa, precision), F.lit(marker), exponent.cast("string"))
+    finite = ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
+    shown = F.abs(value).cast("string")  # 2488.5, 1.0E-10
+    plain, power = F.substring_index(shown, "E", 1), F.when(shown.contains("E"), F.substring_index(shown, "E", -1).cast("int")).otherwise(F.lit(0))
+    before = F.substring_index(plain, ".", 1)
+    every = F.concat(before, F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise(F.lit("")))
+    digits = F.regexp_replace(every, "^0+", "")
+    first = F.length(before) - 1 - (F.length(every) - F.length(digits)) + power  # the exponent of the first digit
+    keep = precision + significant
+    padded = F.rpad(digits, keep + 1, "0")
+    head = F.substring(padded, 1, keep).cast("decimal(38,0)") + F.when(F.substring(padded, keep + 1, 1) >= "5", 1).otherwise(0)
+    over = head >= F.lit(10**keep).cast("decimal(38,0)")
+    head = F.when(over, F.lit(10 ** (keep - 1)).cast("decimal(38,0)")).otherwise(head)
+    exponent = F.when(over, first + 1).otherwise(first) - (significant - 1)
+    unit = F.lit(10**precision).cast("decimal(38,0)")
+    tail = F.concat(F.lit("."), pad_left((head % unit).cast("decimal(38,0)").cast("string"), precision, "0")) if precision else F.lit("")
+    text = F.concat(sign(value), F.call_function("div", head, unit).cast("string"), tail, F.lit(marker), exponent.cast("string"))
+    zero = F.concat(F.lit("0" + ("." + "0" * precision if precision else "") + marker + "0"))
+    return F.when(~finite, fixed(value)).when(value == 0, zero).otherwise(text)
 
 
 # Unit prefixes of powers of 1000 and of 1024.

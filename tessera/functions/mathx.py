@@ -112,34 +112,80 @@ def digits(x: Column, base: int = 10) -> Column:
     return F.transform(F.split(F.reverse(shown), ""), lambda c: F.conv(c, base, 10).cast("int"))
 
 
-@F.pandas_udf(T.BooleanType())
-def is_prime(x: pd.Series) -> pd.Series:
-    """Miller-Rabin with the first twelve primes: certain for 64-bit numbers."""
-    witnesses = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
-
-    def one(n) -> bool:
-        n = int(n)
-        if n < 2:
+# The first twelve primes, which tell for every 64-bit number whether it is one.
+_WITNESSES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
+
+
+def _prime(n: int) -> bool:
+    """Miller-Rabin."""
+    if n < 2:
+        return False
+    for p in _WITNESSES:
+        if n % p == 0:
+            return n == p
+    d, s = n - 1, 0
+    while d % 2 == 0:
+        d, s = d // 2, s + 1
+    for a in _WITNESSES:
+        y = pow(a, d, n)
+        if y in (1, n - 1):
+            continue
+        for _ in range(s - 1):
+            y = y * y % n
+            if y == n - 1:
+                break
+        else:
             return False
-        for p in witnesses:
-            if n % p == 0:
-                return n == p
-        d, s = n - 1, 0
-        while d % 2 == 0:
-            d, s = d // 2, s + 1
-        for a in witnesses:
-            y = pow(a, d, n)
-            if y in (1, n - 1):
+    return True
+
+
+def _divisor(n: int) -> int:
+    """A divisor of an odd composite number, by Pollard's walks: about the fourth root of n steps."""
+    from math import gcd, isqrt
+
+    if isqrt(n) ** 2 == n:
+        return isqrt(n)
+    for c in range(1, n):
+        slow = fast = 2
+        while True:
+            product, steps = 1, []
+            for _ in range(64):  # a gcd for so many steps together
+                slow = (slow * slow + c) % n
+                fast = (fast * fast + c) % n
+                fast = (fast * fast + c) % n
+                steps.append(abs(slow - fast))
+                product = product * steps[-1] % n
+            if (g := gcd(product, n)) == 1:
                 continue
-            for _ in range(s - 1):
-                y = y * y % n
-                if y == n - 1:
-                    break
-            else:
-                return False
-        return True
+            g = next(x for s in steps if (x := gcd(s, n)) > 1)
+            if g < n:
+                return g
+            break
+    raise AssertionError("a composite number has a divisor")
+
+
+def _factors(n: int) -> list[int]:
+    out, todo = [], []
+    for p in _WITNESSES:
+        while n > 1 and n % p == 0:
+            out.append(p)
+            n //= p
+    if n > 1:
+        todo.append(n)
+    while todo:
+        n = todo.pop()
+        if _prime(n):
+            out.append(n)
+        else:
+            d = _divisor(n)
+            todo += [d, n // d]
+    return sorted(out)
 
-    return x.map(one, na_action="ignore").astype(object)
+
+@F.pandas_udf(T.BooleanType())
+def is_prime(x: pd.Series) -> pd.Series:
+    """Certain for 64-bit numbers."""
+    return x.map(lambda n: _prime(int(n)), na_action="ignore").astype(object)
 
 
 def primes(spark: SparkSession, most: int) -> DataFrame:
@@ -168,17 +214,6 @@ def prime_factors(df: DataFrame, value: str) -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def split(x: pd.Series) -> pd.Series:
-        def one(n):
-            if n is None or pd.isna(n):
-                return None
-            n, p, out = int(n), 2, []
-            while p * p <= n:
-                while n % p == 0:
-                    out.append(p)
-                    n //= p
-                p += 1 if p == 2 else 2
-            return out + [n] if n > 1 else out
-
-        return x.map(one)
+        return x.map(lambda n: None if n is None or pd.isna(n) else _factors(int(n)) if n > 1 else [])
 
     return df.withColumn("factors", split(value))

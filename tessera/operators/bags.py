@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.plans.checks import bit_index, non_negative
 from tessera.plans.order import Columns, as_list, ordered
@@ -102,10 +101,10 @@ def bimap(df: DataFrame, key: str, value: str, *, order_by: Columns, rounds: int
     A pair stays if no later pair has its key or value: whatever evicts a pair
     is later, and an evicted pair has already evicted what came before it.
     """
-    w = ordered(order_by, key).rowsBetween(1, Window.unboundedFollowing)
-    v = ordered(order_by, value).rowsBetween(1, Window.unboundedFollowing)
-    later = df.withColumn("_k", F.count("*").over(w)).withColumn("_v", F.count("*").over(v))
-    return later.where("_k = 0 and _v = 0").drop("_k", "_v")
+    mark = F.lit(1)
+    last_of_key = df.withColumn("_k", F.lead(mark).over(ordered(order_by, key)))
+    later = last_of_key.withColumn("_v", F.lead(mark).over(ordered(order_by, value)))
+    return later.where("_k is null and _v is null").drop("_k", "_v")
 
 
 def inverse(pairs: DataFrame, key: str, value: str) -> DataFrame:

@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.plans.expr import let
-
 MATCH = "array<struct<a:int,b:int,size:int>>"
 OPERATION = "struct<type:string,a1:int,a2:int,b1:int,b2:int>"
 
@@ -56,15 +54,18 @@ def ratio(a: Column, b: Column, junk=(), auto_junk: bool = True) -> Column:
 
 
 def quick_ratio(a: Column, b: Column) -> Column:
-    """An upper bound of the ratio from the bags of items, native: 2 * common / total."""
-    total = F.size(a) + F.size(b)
+    """An upper bound of the ratio from the bags of items: 2 * common / total, by counting either once."""
+    from collections import Counter
 
-    def common(v: Column) -> Column:
-        x, y = v["x"], v["y"]
-        return F.aggregate(F.array_distinct(x), F.lit(0), lambda acc, e: acc + F.least(F.size(F.filter(x, lambda i: i == e)), F.size(F.filter(y, lambda i: i == e))))
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(p, q):
+            total = len(p) + len(q)
+            return 2.0 * (Counter(p) & Counter(q)).total() / total if total else 1.0
 
-    both = let(F.struct(a.alias("x"), b.alias("y")), common)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * both / F.greatest(total, F.lit(1)))
+        return pd.Series([None if p is None or q is None else one(p, q) for p, q in zip(x, y)], dtype=object)
+
+    return run(a, b)
 
 
 def real_quick_ratio(a: Column, b: Column) -> Column:
@@ -73,18 +74,38 @@ def real_quick_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.least(F.size(a), F.size(b)) / F.greatest(total, F.lit(1)))
 
 
+def _letters(c: Column) -> Column:
+    return F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+
+
+def _marks(letters: Column, share: float) -> Column:
+    """The first of an array's letters, numbered among equals, in rising order: so many that two arrays with that share of them in common share one."""
+    ranked = F.array_sort(letters)
+    numbered = F.transform(ranked, lambda x, i: F.concat(x, (i - F.array_position(ranked, x) + 1).cast("string")))
+    least = F.greatest(F.ceil(F.size(letters) * F.lit(share) - F.lit(1e-9)), F.lit(1))
+    return F.slice(numbered, F.lit(1), (F.size(letters) - least + 1).cast("int"))
+
+
 def close_matches(words: DataFrame, queries: DataFrame, word: str, query: str, count: int = 3, cutoff: float = 0.6) -> DataFrame:
     """query, word, ratio: each query's ``count`` closest words with a ratio of at least ``cutoff``.
 
-    Words and queries are those of a bounded list (as a vocabulary): they meet by
-    length and by the letters they share before any ratio is computed in Python.
+    A ratio of c takes c / (2 - c) of either's letters in common.  So words and
+    queries meet in the first of their ordered letters, as many as such pairs
+    surely share one of; the rest is never compared.  Only a cutoff of 0 takes
+    all pairs.
     """
     if count <= 0 or not 0 <= cutoff <= 1:
         raise ValueError("count must be positive and cutoff from 0 to 1")
-    letters = lambda c: F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
-    a = words.select(F.col(word).alias("word")).distinct().withColumn("wa", letters(F.col("word")))
-    b = queries.select(F.col(query).alias("query")).distinct().withColumn("qa", letters(F.col("query")))
-    near = b.join(a, real_quick_ratio(F.col("wa"), F.col("qa")) >= cutoff).where(quick_ratio(F.col("wa"), F.col("qa")) >= cutoff)
+    share = cutoff / (2 - cutoff)
+    a = words.select(F.col(word).alias("word")).distinct().withColumn("wa", _letters(F.col("word")))
+    b = queries.select(F.col(query).alias("query")).distinct().withColumn("qa", _letters(F.col("query")))
+    if cutoff:
+        met = a.where("word <> ''").withColumn("_m", F.explode(_marks(F.col("wa"), share))).join(b.where("query <> ''").withColumn("_n", F.explode(_marks(F.col("qa"), share))), F.col("_m") == F.col("_n"))
+        empty = a.where("word = ''").join(b.where("query = ''").withColumn("_e", F.lit("")), F.col("word") == F.col("_e")).drop("_e")  # two empty ones are equal
+        met = met.drop("_m", "_n").dropDuplicates(["word", "query"]).unionByName(empty)
+    else:
+        met = b.crossJoin(a)
+    near = met.where(real_quick_ratio(F.col("wa"), F.col("qa")) >= cutoff)
     rated = near.withColumn("ratio", ratio(F.col("wa"), F.col("qa"))).where(F.col("ratio") >= cutoff)
     ranked = rated.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("ratio"), "word")))
     return ranked.where(F.col("_n") <= count).select("query", "word", "ratio")

@@ -10,26 +10,22 @@ parallel over components.
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.plans.checks import non_negative, positive
+from tessera.plans.order import global_index
+from tessera.plans.session import shared_folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to spark.checkpoint.dir, which all executors share (set here only where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-graph-"))
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -137,15 +133,29 @@ class Graph:
         pairs = pairs if self_loops else pairs.where("src <> dst")
         return Graph(self.vertices, pairs.join(self.edges, ["src", "dst"], "left_anti").withColumn("value", F.lit(1).cast("long")), self.directed)
 
-    def to_dot(self, name: str = "graph") -> str:
-        """GraphViz text of a small graph: vertices in order, undirected edges once."""
-        ids = [r["id"] for r in self.vertices.orderBy("id").limit(100_000).collect()]
-        number = {v: i for i, v in enumerate(ids)}
+    def dot_lines(self, name: str = "graph") -> DataFrame:
+        """part, number, line of GraphViz text, to be put in that order: head, vertices in order, edges (undirected ones once), foot."""
+        spark = self.vertices.sparkSession
+        one = lambda part, text: spark.range(1).select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("number"), F.lit(text).alias("line"))
+        placed = global_index(self.vertices.select("id"), "id", "number").withColumn("number", F.col("number").cast("long"))
+        label = F.replace(F.col("id").cast("string"), F.lit('"'), F.lit('\\"'))
+        vertices = placed.select(F.lit(1).alias("part"), "number", F.concat(F.lit("  "), "number", F.lit(' [label="'), label, F.lit('"];')).alias("line"))
         edges = self.edges if self.directed else self.edges.where("src <= dst")
-        lines = [f"{'digraph' if self.directed else 'graph'} {name} {{"]
-        lines += [f'  {i} [label="{str(v).replace(chr(34), chr(92) + chr(34))}"];' for v, i in number.items()]
-        lines += [f'  {number[e["src"]]} {"->" if self.directed else "--"} {number[e["dst"]]} [label="{e["value"]}"];' for e in edges.orderBy("src", "dst").collect()]
-        return "\n".join([*lines, "}"])
+        known = global_index(edges, ["src", "dst"], "number").join(placed.select(F.col("id").alias("src"), F.col("number").alias("a")), "src").join(placed.select(F.col("id").alias("dst"), F.col("number").alias("b")), "dst")
+        arrow = " -> " if self.directed else " -- "
+        drawn = known.select(F.lit(2).alias("part"), F.col("number").cast("long").alias("number"), F.concat(F.lit("  "), "a", F.lit(arrow), "b", F.lit(' [label="'), F.col("value").cast("string"), F.lit('"];')).alias("line"))
+        return one(0, f"{'digraph' if self.directed else 'graph'} {name} {{").unionAll(vertices).unionAll(drawn).unionAll(one(3, "}"))
+
+    def write_dot(self, folder: str, name: str = "graph") -> None:
+        """The lines as text files whose names are in their order."""
+        self.dot_lines(name).repartitionByRange("part", "number").sortWithinPartitions("part", "number").select("line").write.text(folder)
+
+    def to_dot(self, name: str = "graph", most: int = 200_000) -> str:
+        """GraphViz text of a graph that fits the driver: more than ``most`` lines are an error (see `write_dot`)."""
+        lines = self.dot_lines(name).orderBy("part", "number").limit(most + 1).collect()
+        if len(lines) > most:
+            raise ValueError(f"more than {most} lines: use write_dot")
+        return "\n".join(r["line"] for r in lines)
 
 
 # -- factories ----------------------------------------------------------------------
@@ -197,11 +207,31 @@ def perfect_tree(spark: SparkSession, height: int, arity: int = 2, directed: boo
 
 
 def random_graph(spark: SparkSession, n: int, probability: float, seed: int = 0, directed: bool = True) -> Graph:
-    """Every pair has an edge with the same probability."""
-    ids = spark.range(n)
-    pairs = ids.select(F.col("id").alias("src")).crossJoin(ids.select(F.col("id").alias("dst"))).where("src <> dst" if directed else "src < dst")
-    chance = F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return _numbered(spark, n, pairs.where(chance < probability), directed)
+    """Every pair has an edge with the same probability.
+
+    Each vertex skips from one edge to its next by geometric distances, so the
+    work follows the edges that come out and not the pairs.
+    """
+    if not 0 <= probability <= 1:
+        raise ValueError("probability must be from 0 to 1")
+
+    def draw(batches):
+        for batch in batches:
+            for v in batch["id"]:
+                rng, first = np.random.default_rng([seed, v]), 0 if directed else v + 1
+                others, at = [], first - 1
+                while probability > 0:
+                    room = n - 1 - at
+                    steps = np.cumsum(rng.geometric(probability, max(16, int(room * probability * 1.2) + 16)))
+                    kept = steps[steps <= room]
+                    others.append(at + kept)
+                    if len(kept) < len(steps):
+                        break
+                    at += int(kept[-1])
+                found = np.concatenate(others) if others else np.empty(0, np.int64)
+                yield pd.DataFrame({"src": np.int64(v), "dst": found[found != v].astype(np.int64)})
+
+    return _numbered(spark, n, spark.range(non_negative(n, "n")).mapInPandas(draw, "src long, dst long"), directed)
 
 
 # -- iterative algorithms -------------------------------------------------------------
@@ -224,26 +254,31 @@ def breadth_first(g: Graph, starts: DataFrame, most: int | None = None) -> DataF
     raise RuntimeError(f"more than {most} steps deep")
 
 
+def _hooked(pairs: DataFrame, up: bool) -> DataFrame:
+    """Pairs (a, b) with b below a, re-linked: with ``up`` what is above a vertex to the smallest that it touches, else each to its own smallest."""
+    touching = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if up else pairs
+    low = touching.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    moved = touching.join(low, F.col("a") == F.col("k"))
+    if up:
+        return moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+
+
 def connected(g: Graph, most: int = 60) -> DataFrame:
     """id, component: the smallest id connected by edges in either direction; a vertex alone is its own.
 
-    Labels take the smallest among neighbours, then jump to their label's label,
-    so the rounds grow with the logarithm of the longest path.
+    Edges are re-linked towards smaller ids, first from a vertex's neighbours
+    and then from the vertex, until all hang on the smallest.  The rounds grow
+    with the logarithm of the longest path, and only minima are gathered by
+    vertex, so a giant component is no hot key.
     """
-    both = checkpointed(g.edges.select("src", "dst").union(g.edges.select("dst", "src")).where("src <> dst").distinct())
-    labels = checkpointed(g.vertices.select("id", F.col("id").alias("component")))
+    pairs = checkpointed(g.edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     for _ in range(most):
-        near = both.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("low"))
-        hooked = labels.join(near, F.col("id") == F.col("src"), "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("new"))
-        # what a label's own vertex has found serves all that carry it
-        root = hooked.groupBy("component").agg(F.min("new").alias("root"))
-        jumped = hooked.join(root, "component").select("id", F.col("component").alias("old"), F.least("new", "root").alias("m"))
-        far = jumped.select(F.col("id").alias("k"), F.col("m").alias("mm"))
-        after = checkpointed(jumped.join(far, F.col("m") == F.col("k")).select("id", "old", F.least("m", "mm").alias("component")))
-        changed = after.where("old <> component").take(1)
-        labels = after.select("id", "component")
-        if not changed:
-            return labels
+        forked = pairs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        chained = pairs.join(pairs.select(F.col("a").alias("k")), F.col("b") == F.col("k"), "left_semi").select("a")
+        if not forked.unionAll(chained).take(1):
+            return g.vertices.join(pairs, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("component"))
+        pairs = checkpointed(_hooked(_hooked(pairs, True), False))
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
@@ -263,29 +298,41 @@ def topological(g: Graph, most: int = 100_000) -> DataFrame:
     raise RuntimeError(f"more than {most} layers")
 
 
+def cyclic(g: Graph) -> DataFrame:
+    """cyclic, in one row: whether a directed cycle exists, which is what cannot be put in topological order."""
+    return g.vertices.join(topological(g), "id", "left_anti").agg((F.count("*") > 0).alias("cyclic"))
+
+
 def has_cycle(g: Graph) -> bool:
-    """Whether a directed cycle exists: what cannot be put in topological order."""
-    return bool(g.vertices.join(topological(g), "id", "left_anti").take(1))
+    return cyclic(g).first()[0]
 
 
-def is_bipartite(g: Graph) -> bool:
-    """Whether two colours do, edges read in both directions."""
+def bipartite(g: Graph) -> DataFrame:
+    """bipartite, in one row: whether two colours do, edges read in both directions."""
     both = g.edges.select("src", "dst").union(g.edges.select("dst", "src")).distinct()
     # A double cover: each vertex twice, edges across. Bipartite if no vertex meets its twin.
     ids = g.vertices.select(F.struct(F.col("id").alias("v"), F.lit(0).alias("s")).alias("id")).union(g.vertices.select(F.struct(F.col("id").alias("v"), F.lit(1).alias("s")).alias("id")))
     cross = both.select(F.struct(F.col("src").alias("v"), F.lit(0).alias("s")).alias("src"), F.struct(F.col("dst").alias("v"), F.lit(1).alias("s")).alias("dst"))
     found = connected(Graph(ids, cross.union(cross.select("dst", "src"))))
     twins = found.groupBy("id.v", "component").agg(F.count("*").alias("n"))
-    return not twins.where("n > 1").take(1)
+    return twins.where("n > 1").agg((F.count("*") == 0).alias("bipartite"))
 
 
-def shortest_paths(g: Graph, starts: DataFrame, cost: Column | None = None, negative: bool = False, targets: DataFrame | None = None, most: int = 100_000) -> DataFrame:
+def is_bipartite(g: Graph) -> bool:
+    return bipartite(g).first()[0]
+
+
+def shortest_paths(g: Graph, starts: DataFrame, cost: Column | None = None, negative: bool = False, targets: DataFrame | None = None, heuristic: Column | None = None, most: int = 100_000) -> DataFrame:
     """id, cost, parent: the smallest cost from any start (0 with no parent), for what is reachable.
 
     Rounds of relaxation from the vertices that improved.  A negative cost is an
     error unless ``negative`` is set; then a negative cycle is one.  With targets
-    the loop ends once all are settled.
+    the loop ends once all are settled.  A ``heuristic`` of ``id``, never above the
+    cost that is left to a target, keeps vertices out of the search that cannot
+    better a target's cost; what it leaves out may be missing or cost too much.
     """
+    if heuristic is not None and (targets is None or negative):
+        raise ValueError("a heuristic needs targets and costs that are not negative")
     weighted = g.edges.select("src", "dst", (cost if cost is not None else F.col("value")).cast("double").alias("w"))
     if not negative and weighted.where("w < 0").take(1):
         raise ValueError("negative edge costs: set negative=True")
@@ -305,25 +352,44 @@ def shortest_paths(g: Graph, starts: DataFrame, cost: Column | None = None, nega
             return best
         if targets is not None and not negative:
             worst = best.join(targets.select("id"), "id", "right").agg(F.max("cost").alias("w"), F.count_if(F.col("cost").isNull()).alias("open")).first()
-            if not worst["open"] and frontier.agg(F.min("cost")).first()[0] >= (worst["w"] or 0.0):
-                return best
+            if not worst["open"]:
+                ahead = F.col("cost") + heuristic.cast("double") if heuristic is not None else F.col("cost")
+                frontier = checkpointed(frontier.where(ahead < F.lit(worst["w"] or 0.0)))
+                if not frontier.take(1):
+                    return best
     raise RuntimeError(f"paths did not settle in {most} rounds")
 
 
-def path_to(paths: DataFrame, target, most: int = 100_000) -> list:
-    """The vertices from a start to a target, [] if it was not reached: one row back for each step."""
-    back, at = [], target
-    for _ in range(most):
-        row = paths.where(F.col("id") == F.lit(at)).first()
-        if row is None:
-            return []
-        back.append(at)
-        if row["parent"] is None:
-            return back[::-1]
-        at = row["parent"]
+def path_to(paths: DataFrame, targets: DataFrame, most: int = 100_000) -> DataFrame:
+    """target, back, id, cost of the vertices on a way from a start to each target: back counts from the target, 0.
+
+    Parents are followed by a join a step, for all targets together; one that was not reached has no row.
+    """
+    at = checkpointed(paths.join(targets.select(F.col("id").alias("target")).distinct(), F.col("id") == F.col("target")).select("target", F.lit(0).cast("long").alias("back"), "id", "cost", "parent"))
+    out = at
+    for back in range(1, most):
+        up = at.where("parent is not null").select("target", F.col("parent").alias("_up"))
+        at = checkpointed(up.join(paths, F.col("_up") == F.col("id")).select("target", F.lit(back).cast("long").alias("back"), "id", "cost", "parent"))
+        if not at.take(1):
+            return out.drop("parent")
+        out = out.unionAll(at)
     raise RuntimeError("the path does not end")
 
 
+def all_paths_to(g: Graph, paths: DataFrame, target: DataFrame, cost: Column | None = None, most: int = 100_000) -> DataFrame:
+    """route: every one of the shortest ways from a start to the target, as an array of vertices; as many rows as there are such ways."""
+    tight = checkpointed(tight_edges(g, paths, cost))
+    starts = paths.where("parent is null").select(F.col("id").alias("s"))
+    at = checkpointed(paths.join(target.select(F.col("id").alias("t")), F.col("id") == F.col("t"), "left_semi").select("id", F.array("id").alias("route")))
+    out = at.join(starts, F.col("id") == F.col("s"), "left_semi").select("route")
+    for _ in range(most):
+        at = checkpointed(at.join(tight, F.col("id") == F.col("dst")).where(~F.array_contains("route", F.col("src"))).select(F.col("src").alias("id"), F.concat(F.array("src"), "route").alias("route")))
+        if not at.take(1):
+            return out
+        out = out.unionAll(at.join(starts, F.col("id") == F.col("s"), "left_semi").select("route"))
+    raise RuntimeError("the paths do not end")
+
+
 def tight_edges(g: Graph, paths: DataFrame, cost: Column | None = None) -> DataFrame:
     """src, dst of the edges on any of the shortest paths: all of these, traced back, are all the paths."""
     a, b = paths.select(F.col("id").alias("src"), F.col("cost").alias("ca")), paths.select(F.col("id").alias("dst"), F.col("cost").alias("cb"))
@@ -393,6 +459,14 @@ def strongly_connected(g: Graph, most: int | None = None) -> DataFrame:
     most = max(1, g.vertices.count()) if most is None else most
     left, edges, done = checkpointed(g.vertices.select("id")), checkpointed(g.edges.select("src", "dst").where("src <> dst")), None
     for _ in range(most):
+        # What nothing reaches, or what reaches nothing, is a component of its own: chains need no colours.
+        both = edges.select(F.col("src").alias("id")).intersect(edges.select("dst"))
+        alone = left.join(both, "id", "left_anti").select("id", F.col("id").alias("component"))
+        done = checkpointed(alone if done is None else done.unionAll(alone))
+        left = checkpointed(left.join(both, "id", "left_semi"))
+        if not left.take(1):
+            return done
+        edges = checkpointed(edges.join(both.select(F.col("id").alias("src")), "src", "left_semi").join(both.select(F.col("id").alias("dst")), "dst", "left_semi"))
         colour = checkpointed(left.select("id", F.col("id").alias("c")))
         for _ in range(most):
             offers = edges.join(colour, F.col("src") == F.col("id")).groupBy("dst").agg(F.max("c").alias("o"))
@@ -416,6 +490,9 @@ def strongly_connected(g: Graph, most: int | None = None) -> DataFrame:
     raise RuntimeError("strong components did not settle")
 
 
+#: Edges of a graph that an algorithm on the driver takes.
+MOST_ON_DRIVER = 1_000_000
+
 # -- for each component, in Python --------------------------------------------------------
 
 
@@ -493,11 +570,14 @@ def random_walk(g: Graph, starts: DataFrame, steps: int, seed: int = 0, self_avo
 
 
 def max_flow(g: Graph, source, sink) -> float:
-    """The largest flow, by blocking flows over level graphs; runs on the driver, for graphs of a size that fits it."""
+    """The largest flow, by blocking flows over level graphs; on the driver, for graphs that fit it: more than MOST_ON_DRIVER edges are an error."""
     from collections import deque
 
     cap: dict = {}
-    for e in g.edges.collect():
+    edges = g.edges.limit(MOST_ON_DRIVER + 1).collect()
+    if len(edges) > MOST_ON_DRIVER:
+        raise ValueError(f"more than {MOST_ON_DRIVER} edges")
+    for e in edges:
         cap.setdefault(e["src"], {})
         cap.setdefault(e["dst"], {})
         cap[e["src"]][e["dst"]] = cap[e["src"]].get(e["dst"], 0) + e["value"]
@@ -538,7 +618,7 @@ def max_flow(g: Graph, source, sink) -> float:
 
 
 def min_cut(g: Graph) -> DataFrame:
-    """component, weight, side (a list of ids): a smallest cut of each component of an undirected graph; null for single vertices."""
+    """component, weight, side: a smallest cut of each component of an undirected graph, as the vertices that it parts from the smallest; null for single vertices."""
     kind = dict(g.vertices.dtypes)["id"]
 
     def run(vertices, edges):
@@ -558,7 +638,8 @@ def min_cut(g: Graph) -> DataFrame:
                         near[o] += w
             t, s = order[-1], order[-2]
             if best is None or cut < best[0]:
-                best = (cut, sorted(merged[t]))
+                away = set(vertices) - set(merged[t]) if vertices[0] in merged[t] else merged[t]
+                best = (cut, sorted(away))
             merged[s] += merged.pop(t)
             for o, w in weight.pop(t).items():
                 weight[o].pop(t)

@@ -38,6 +38,28 @@ def _chains(t) -> Graph:
     return Graph.of(e, t.customer.select(F.col("c_custkey").alias("id")), directed=False)
 
 
+_REGIONS = _TRADE + """, flow as (select a.n_regionkey::bigint as src, b.n_regionkey::bigint as dst, sum(value)::bigint as value from trade join nation a on src = a.n_nationkey join nation b on dst = b.n_nationkey where a.n_regionkey <> b.n_regionkey group by 1, 2)"""
+
+
+def _regions(t) -> Graph:
+    """Trade between regions."""
+    e = _trade(t).edges
+    a, b = (t.nation.select(F.col("n_nationkey").alias(n), F.col("n_regionkey").cast("long").alias(r)) for n, r in (("src", "a"), ("dst", "b")))
+    met = e.join(a, "src").join(b, "dst").where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("value").alias("value"))
+    return Graph.of(gr.checkpointed(met))
+
+
+def _places(t) -> Graph:
+    """Region, nation, customer; ids rise from the roots on."""
+    a = t.nation.select(F.concat(F.lit("a"), "n_regionkey").alias("src"), F.concat(F.lit("b"), "n_nationkey").alias("dst"))
+    b = t.customer.select(F.concat(F.lit("b"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+    return Graph.of(a.unionAll(b))
+
+
+_PLACES = """select 'a' || n_regionkey as start, 'a' || n_regionkey as id, ['a' || n_regionkey] as way from nation group by 1, 2, 3 union all select 'a' || n_regionkey, 'b' || n_nationkey, ['a' || n_regionkey, 'b' || n_nationkey] from nation
+ union all select 'a' || n_regionkey, 'c' || c_custkey, ['a' || n_regionkey, 'b' || n_nationkey, 'c' || c_custkey] from customer join nation on c_nationkey = n_nationkey"""
+
+
 def _tree(t) -> Graph:
     a = t.nation.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
     b = t.customer.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
@@ -133,9 +155,14 @@ def _(t):
     return a.select(F.lit("complete").alias("kind"), "src", "dst").unionAll(b.select(F.lit("perfect").alias("kind"), "src", "dst"))
 
 
-@query("graph_random")
+@query("graph_random", "select true as inside, true as loopless, true as single, true as even, true as repeatable, cast(0 as bigint) as none, cast(39 * 40 as bigint) as every")
 def _(t):
-    return gr.random_graph(t.spark, 40, 0.2, seed=1).edges
+    """What holds for any draw: ends are vertices, no loops, no repeats, about as many edges as expected (six deviations of 219), the same again."""
+    make = lambda p, n=1000: gr.random_graph(t.spark, n, p, seed=1).edges.select("src", "dst")
+    e = gr.checkpointed(make(0.05))
+    checks = e.agg(F.coalesce(F.bool_and((F.col("src") >= 0) & (F.col("src") < 1000) & (F.col("dst") >= 0) & (F.col("dst") < 1000)), F.lit(False)).alias("inside"), F.bool_and(F.col("src") != F.col("dst")).alias("loopless"), (F.count("*") == F.count_distinct("src", "dst")).alias("single"), (F.abs(F.count("*") - 49950) < 1320).alias("even"))
+    same = e.exceptAll(make(0.05)).agg((F.count("*") == 0).alias("repeatable"))
+    return checks.crossJoin(same).crossJoin(make(0.0).agg(F.count("*").alias("none"))).crossJoin(make(1.0, 40).agg(F.count("*").alias("every")))
 
 
 @query("graph_breadth_first", "select 'r' || r_regionkey as id, cast(0 as bigint) as depth from region where r_regionkey in (select n_regionkey from nation) union all select 'n' || n_nationkey, 1 from nation union all select 'c' || c_custkey, 2 from customer")
@@ -170,8 +197,8 @@ def _(t):
 @query("graph_has_cycle", f"with {_NET}, {_IDS}{_REACH} select exists (select 1 from r5 a join net b on a.src = b.dst and a.dst = b.src) as cyclic, false as tree_cyclic, false as bipartite, true as tree_bipartite")
 def _(t):
     tree, net = _tree(t), _net(t)
-    row = (gr.has_cycle(net), gr.has_cycle(tree), gr.is_bipartite(Graph.of(gr.complete(t.spark, 3).edges, directed=False)), gr.is_bipartite(tree))
-    return t.spark.range(1).select(*[F.lit(v).alias(n) for v, n in zip(row, ("cyclic", "tree_cyclic", "bipartite", "tree_bipartite"))])
+    odd = gr.bipartite(Graph.of(gr.complete(t.spark, 3).edges, directed=False))
+    return gr.cyclic(net).crossJoin(gr.cyclic(tree).withColumnRenamed("cyclic", "tree_cyclic")).crossJoin(odd).crossJoin(gr.bipartite(tree).withColumnRenamed("bipartite", "tree_bipartite"))
 
 
 def _closure(start: str, join: str) -> str:
@@ -204,13 +231,35 @@ def _(t):
     return gr.tight_edges(g, gr.shortest_paths(g, g.vertices.agg(F.min("id").alias("id"))))
 
 
-@query("graph_path_cost")
+_FULL = _SHORT.replace("value::double as cost from net", "value::double as cost from trade")
+_TIGHT = ", ends as (select min(id) as a, max(id) as z from ids), p as (select dst as id, cost from d5, ends where src = a), tight as (select distinct src, dst from trade join p a on a.id = src join p b on b.id = dst where a.cost + value = b.cost and src <> dst)"
+_WITH = f"with recursive {_TRADE}, {_IDS}{_FULL}{_TIGHT}"
+
+
+@query("graph_path_cost", _WITH + ", way(target, back, id) as (select z, cast(0 as bigint), z from ends union all select target, back + 1, (select min(src) from tight where dst = way.id) from way where exists (select 1 from tight where dst = way.id)) select target, back, way.id, cost from way join p on p.id = way.id")
+def _(t):
+    g = _trade(t)
+    last = g.vertices.agg(F.max("id").alias("id"))
+    return gr.path_to(gr.shortest_paths(g, g.vertices.agg(F.min("id").alias("id")), targets=last), last)
+
+
+@query("graph_all_shortest_paths", _WITH + ", way(id, route) as (select z, [z] from ends union all select src, list_prepend(src, route) from way join tight on dst = way.id) select array_to_string(route, ',') as route from way, ends where way.id = a")
 def _(t):
     g = _trade(t)
-    first = g.vertices.agg(F.min("id").alias("id"))
-    paths = gr.shortest_paths(g, first, targets=g.vertices.agg(F.max("id").alias("id")))
-    route = gr.path_to(paths, g.vertices.agg(F.max("id")).first()[0])
-    return t.spark.range(1).select(F.array(*[F.lit(v) for v in route]).cast("array<bigint>").alias("route"))
+    last = g.vertices.agg(F.max("id").alias("id"))
+    routes = gr.all_paths_to(g, gr.shortest_paths(g, g.vertices.agg(F.min("id").alias("id"))), last)
+    return routes.select(F.array_join(F.transform("route", lambda v: v.cast("string")), ",").alias("route"))
+
+
+@query("graph_informed_search", _WITH + " select id, cost from p, ends where id = z")
+def _(t):
+    """With the smallest cost of any edge as what is left to the target at least."""
+    g = _trade(t)
+    least = g.edges.agg(F.min("value")).first()[0]
+    last = g.vertices.agg(F.max("id").alias("id"))
+    left = F.when(F.col("id") == last.first()[0], F.lit(0.0)).otherwise(F.lit(float(least)))
+    found = gr.shortest_paths(g, g.vertices.agg(F.min("id").alias("id")), targets=last, heuristic=left)
+    return found.join(last, "id", "left_semi").select("id", "cost")
 
 
 _FLAT = ", u as (select least(src, dst) as a, greatest(src, dst) as b, min(value * 10000 + src * 100 + dst) as w from trade where src <> dst group by 1, 2)"
@@ -236,47 +285,81 @@ def _(t):
     return _net(t).edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
 
 
-@query("graph_depth_first")
+@query("graph_depth_first", f"select id, start, row_number() over (partition by start order by way) - 1 as place from ({_PLACES})")
 def _(t):
-    return gr.depth_first(_tree(t))
+    return gr.depth_first(_places(t))
 
 
-@query("graph_depth_first_post_order")
+@query("graph_depth_first_post_order", f"select id, start, row_number() over (partition by start order by list_append(way, '~')) - 1 as place from ({_PLACES})")
 def _(t):
-    return gr.depth_first(_tree(t), post=True)
+    return gr.depth_first(_places(t), post=True)
 
 
-@query("graph_random_walk")
+@query("graph_random_walk", f"with {_NET}, {_IDS} select id as start, true as along_edges, true as self_avoiding, true as ends_rightly from ids")
 def _(t):
+    """What holds for any walk: it follows edges, meets no vertex twice, and stops after 8 steps or where no edge leads on."""
     g = _net(t)
-    return gr.random_walk(g, g.vertices, 8, seed=2, self_avoiding=True)
+    walk = gr.checkpointed(gr.random_walk(g, g.vertices, 8, seed=2, self_avoiding=True))
+    back = walk.select(F.col("start").alias("s"), (F.col("step") + 1).alias("n"), F.col("id").alias("src"))
+    steps = walk.where("step > 0").join(back, (F.col("start") == F.col("s")) & (F.col("step") == F.col("n")), "left").join(g.edges.select("src", F.col("dst").alias("id"), F.lit(1).alias("hit")), ["src", "id"], "left")
+    edges = steps.groupBy("start").agg(F.bool_and(F.col("hit").isNotNull()).alias("along"))
+    whole = walk.groupBy("start").agg((F.count("*") == F.count_distinct("id")).alias("self_avoiding"), F.max("step").alias("last"), F.collect_set("id").alias("been"), F.max_by("id", "step").alias("at"))
+    on = whole.join(g.edges, F.col("at") == F.col("src"), "left").groupBy("start", "self_avoiding", "last").agg(F.bool_or(F.col("dst").isNotNull() & ~F.array_contains("been", F.col("dst"))).alias("more"))
+    return on.join(edges, "start", "left").select("start", F.coalesce("along", F.lit(True)).alias("along_edges"), "self_avoiding", ((F.col("last") == 8) | ~F.coalesce("more", F.lit(False))).alias("ends_rightly"))
+
+
+_SETS = ", v as (select list(id order by id) as l from (select distinct src as id from flow union select dst from flow)), cuts as (select [l[i + 1] for i in range(len(l)) if (m >> i) & 1 = 1] as side, l from v, (select unnest(range(0, 1 << (select len(l) from v))) as m))"
 
 
-@query("graph_max_flow")
+@query("graph_max_flow", f"with {_REGIONS}{_SETS} select min(c)::double as flow from (select (select coalesce(sum(value), 0) from flow where list_contains(side, src) and not list_contains(side, dst)) as c from cuts where list_contains(side, l[1]) and not list_contains(side, l[-1]))")
 def _(t):
-    g = _trade(t).where(edge=F.col("src") != F.col("dst"))
+    g = _regions(t)
     ends = g.vertices.agg(F.min("id"), F.max("id")).first()
-    return t.spark.range(1).select(F.lit(float(gr.max_flow(g, ends[0], ends[1]))).alias("flow"))
+    return t.spark.createDataFrame([(float(gr.max_flow(g, *ends)),)], "flow double")
 
 
-@query("graph_min_cut")
+@query("graph_min_cut", f"with {_REGIONS}{_SETS}, c as (select side, l[1] as component, (select sum(value) from flow where src < dst and list_contains(side, src) <> list_contains(side, dst)) as w from (select side, l from cuts where len(side) > 0 and not list_contains(side, l[1]))) select component, w::double as weight, array_to_string(side, ',') as side from c where w = (select min(w) from c)".replace("src < dst and list_contains", "list_contains"))
 def _(t):
-    g = _net(t)
-    return gr.min_cut(Graph.of(g.edges, g.vertices, directed=False))
+    g = _regions(t)
+    both = g.edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("value").alias("value"))
+    return gr.min_cut(Graph.of(both, g.vertices, directed=False)).select("component", "weight", F.array_join(F.transform("side", lambda v: v.cast("string")), ",").alias("side"))
+
 
+_STRONG = "strong as (select src, dst from net where value > (select avg(value) * 1.3 from net)), n as (select src as a, dst as b from strong union select dst, src from strong)"
 
-@query("graph_cliques")
+
+@query("graph_cliques", f"with recursive {_NET}, {_IDS}, {_STRONG}, c(members, last) as (select [id], id from ids union all select list_append(members, n.b), n.b from c join n on n.a = c.last and n.b > c.last where len([m for m in members if m <> n.a]) = (select count(*) from n o where o.b = n.b and list_contains(members, o.a) and o.a <> n.a)) select array_to_string(members, ',') as members from c where not exists (select 1 from ids where not list_contains(members, id) and (select count(*) from n o where o.a = ids.id and list_contains(members, o.b)) = len(members))")
 def _(t):
     g = _net(t)
-    return gr.cliques(Graph.of(g.edges.where("value > 10"), g.vertices, directed=False))
+    strong = g.edges.join(g.edges.agg((F.avg("value") * 1.3).alias("bar"))).where("value > bar").drop("bar")
+    return gr.cliques(Graph.of(strong, g.vertices, directed=False)).select(F.array_join(F.transform("members", lambda v: v.cast("string")), ",").alias("members"))
 
 
-@query("graph_colouring")
+@query("graph_colouring", f"with recursive {_NET}, {_IDS}, o as (select id, row_number() over (order by id) as r from ids), near as (select o.r, list(distinct q.r) filter (where q.r < o.r) as l from o left join (select src as a, dst as b from net union select dst, src from net) e on e.a = o.id left join o q on q.id = e.b group by 1),"
+ " s(r, colours) as (select cast(0 as bigint), [-1]::bigint[] union all select near.r, list_append(colours, list_min([x for x in range(0, near.r) if not list_contains([colours[q + 1] for q in coalesce(near.l, [])], x)])) from s join near on near.r = s.r + 1) select id, s.colours[o.r + 1] as colour from o, s where s.r = (select max(r) from o)")
 def _(t):
     g = _net(t)
     return gr.colouring(Graph.of(g.edges, g.vertices, directed=False))
 
 
-@query("graph_export_dot")
+@query("graph_export_dot", f"""with {_NET}, {_IDS}, v as (select id, row_number() over (order by id) - 1 as number from ids) select 0 as part, cast(0 as bigint) as number, 'digraph graph {{' as line union all select 1, number, '  ' || number || ' [label="' || id || '"];' from v
+ union all select 2, row_number() over (order by src, dst) - 1, '  ' || a.number || ' -> ' || b.number || ' [label="' || value || '"];' from net join v a on a.id = src join v b on b.id = dst union all select 3, 0, '}}'""")
 def _(t):
-    return t.spark.range(1).select(F.lit(_net(t).to_dot()).alias("dot"))
+    return _net(t).dot_lines()
+
+
+@query("graph_copy_guards", f"with {_NET}, {_IDS} select (select count(*) from net) as edges, (select count(*) from ids) as vertices, cast(0 as bigint) as copied_empty, true as undirected_refused, true as negative_refused")
+def _(t):
+    g = _net(t)
+    same, bare = g.copy(), g.copy(empty=True)
+
+    def refused(call) -> bool:
+        try:
+            call()
+        except ValueError:
+            return True
+        return False
+
+    checks = (refused(lambda: gr.topological(Graph.of(g.edges, directed=False))), refused(lambda: gr.shortest_paths(g, g.vertices, -F.col("value"))))
+    counts = same.edges.agg(F.count("*").alias("edges")).crossJoin(same.vertices.agg(F.count("*").alias("vertices"))).crossJoin(bare.edges.agg(F.count("*").alias("copied_empty")))
+    return counts.select("*", *[F.lit(v).alias(n) for v, n in zip(checks, ("undirected_refused", "negative_refused"))])

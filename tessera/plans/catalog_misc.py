@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -11,6 +9,7 @@ from pyspark.sql.window import Window
 from tessera.functions import optional as opt
 from tessera.functions import structs
 from tessera.operators import caching, diff
+from tessera.plans.matching_sql import BEST_OF_ALL, GROUPED, matching
 from tessera.plans.registry import query
 from tessera.streaming import stream
 
@@ -40,45 +39,87 @@ def _(t):
     return _turns(t).select("conv_id", "turn", diff.quick_ratio(_words(F.col("before")), _words(F.col("after"))).alias("ratio"))
 
 
-@query("diff_ratio")
+_PAIRS = _TURNS.removeprefix("with ").rstrip() + ", x as (select {{'c': conv_id, 't': turn}} as k, string_split(before, {0}) as a, string_split(after, {0}) as b from p)"
+_WORDS, _LINES = matching(_PAIRS.format("' '")), matching(_PAIRS.format("chr(10)"))
+
+
+@query("diff_ratio", _WORDS + " select k.c as conv_id, k.t as turn, 2.0::double * (select coalesce(sum(size), 0) from block where block.k = x.k) / (len(a) + len(b)) as ratio from x")
 def _(t):
     return _turns(t).select("conv_id", "turn", diff.ratio(_words(F.col("before")), _words(F.col("after"))).alias("ratio"))
 
 
-@query("diff_matches")
+@query("diff_matches", _WORDS + " select k.c as conv_id, k.t as turn, a::integer as a, b::integer as b, size::integer as size from closed")
 def _(t):
     return _turns(t).select("conv_id", "turn", F.explode(diff.matches(_words(F.col("before")), _words(F.col("after")))).alias("m")).select("conv_id", "turn", "m.*")
 
 
-@query("diff_longest_match")
+@query("diff_longest_match", _WORDS + f" select x.k.c as conv_id, x.k.t as turn, coalesce(flo, 0)::integer as a, coalesce(flo - d, 0)::integer as b, coalesce(fhi - flo, 0)::integer as size from x left join (select * from {BEST_OF_ALL} where nth = 1 and fhi > flo) m on m.k = x.k")
 def _(t):
-    return _turns(t).select("conv_id", "turn", diff.longest_match(_words(F.col("before")), _words(F.col("after"))).alias("m"))
+    m = diff.longest_match(_words(F.col("before")), _words(F.col("after")))
+    return _turns(t).select("conv_id", "turn", m.alias("m")).select("conv_id", "turn", *[F.col("m")[i].alias(n) for i, n in enumerate(("a", "b", "size"))])
 
 
-@query("diff_operations")
+@query("diff_operations", _WORDS + " select k.c as conv_id, k.t as turn, kind as type, a1::integer as a1, a2::integer as a2, b1::integer as b1, b2::integer as b2 from oper")
 def _(t):
     return _turns(t).select("conv_id", "turn", F.explode(diff.operations(_words(F.col("before")), _words(F.col("after")))).alias("o")).select("conv_id", "turn", "o.*")
 
 
-@query("diff_grouped_operations")
+@query("diff_grouped_operations", _WORDS + GROUPED + " select k.c as conv_id, k.t as turn, g::integer as g, kind as type, a1::integer as a1, a2::integer as a2, b1::integer as b1, b2::integer as b2 from piece")
 def _(t):
-    return _turns(t).select("conv_id", "turn", F.size(diff.grouped_operations(_words(F.col("before")), _words(F.col("after")))).alias("groups"))
+    groups = _turns(t).select("conv_id", "turn", F.posexplode(diff.grouped_operations(_words(F.col("before")), _words(F.col("after")))).alias("g", "o"))
+    return groups.select("conv_id", "turn", "g", F.explode("o").alias("o")).select("conv_id", "turn", "g", "o.*")
+
+
+_SPAN = "case when {1} - {0} <= 1 then ({1})::varchar else ({0} + 1)::varchar || ',' || ({1})::varchar end"
+_NORMAL = f""" select k.c as conv_id, k.t as turn, unnest([case when kind = 'insert' then a1::varchar else {_SPAN.format("a1", "a2")} end || case kind when 'replace' then 'c' when 'delete' then 'd' else 'a' end || case when kind = 'delete' then b1::varchar else {_SPAN.format("b1", "b2")} end]
+ || ['< ' || v for v in x.a[a1 + 1:a2]] || case when kind = 'replace' then ['---'] else [] end || ['> ' || v for v in x.b[b1 + 1:b2]]) as line from oper join x using (k) where kind <> 'equal'"""
+_RANGES = "ends as (select k, g, min(a1) as a1, max(a2) as a2, min(b1) as b1, max(b2) as b2, bool_or(kind in ('replace', 'delete')) as out, bool_or(kind in ('replace', 'insert')) as inn from piece group by k, g)"
+
+
+def _unified(a: str, b: str) -> str:
+    return f"case {b} - {a} when 1 then ({a} + 1)::varchar when 0 then {a}::varchar || ',0' else ({a} + 1)::varchar || ',' || ({b} - {a})::varchar end"
+
+
+def _context(a: str, b: str) -> str:
+    return f"case {b} - {a} when 0 then {a}::varchar when 1 then ({a} + 1)::varchar else ({a} + 1)::varchar || ',' || ({b})::varchar end"
 
 
-for _form in ("normal", "unified", "context", "readable"):
+_UNIFIED = GROUPED + f""", {_RANGES}, line as (select distinct k, unnest(['--- source', '+++ target']) as line, -1 as g, 0 as n from piece
+ union all select k, '@@ -' || {_unified("a1", "a2")} || ' +' || {_unified("b1", "b2")} || ' @@', g, 0 from ends
+ union all select k, unnest(case when kind = 'equal' then [' ' || v for v in x.a[a1 + 1:a2]] else ['-' || v for v in x.a[a1 + 1:a2]] || ['+' || v for v in x.b[b1 + 1:b2]] end), g, n from piece join x using (k)) select k.c as conv_id, k.t as turn, line from line"""
+_SIGN = "case kind when 'replace' then '! ' when 'delete' then '- ' when 'insert' then '+ ' else '  ' end"
+_CONTEXT = GROUPED + f""", {_RANGES}, line as (select distinct k, unnest(['*** source', '--- target']) as line, -1 as g, 0 as n from piece
+ union all select k, unnest(['***************', '*** ' || {_context("a1", "a2")} || ' ****', '--- ' || {_context("b1", "b2")} || ' ----']), g, 0 from ends
+ union all select k, unnest([{_SIGN} || v for v in x.a[piece.a1 + 1:piece.a2]]), g, n from piece join x using (k) join ends using (k, g) where ends.out and kind <> 'insert'
+ union all select k, unnest([{_SIGN} || v for v in x.b[piece.b1 + 1:piece.b2]]), g, n from piece join x using (k) join ends using (k, g) where ends.inn and kind <> 'delete') select k.c as conv_id, k.t as turn, line from line"""
 
-    @query(f"diff_{_form}")
+for _form, _sql in (("normal", _NORMAL), ("unified", _UNIFIED), ("context", _CONTEXT)):
+
+    @query(f"diff_{_form}", _LINES + _sql)
     def _(t, form=_form):
         return _turns(t).select("conv_id", "turn", F.explode(diff.diff(F.col("before"), F.col("after"), form)).alias("line"))
 
 
+@query("diff_readable", _TURNS + "select conv_id, turn, before, after, true as hinted from p")
+def _(t):
+    """Both texts, put together again from the lines; hints stand below changed lines only."""
+    lines = _turns(t).select("conv_id", "turn", diff.diff(F.col("before"), F.col("after"), "readable").alias("l"))
+    kept = lambda signs: F.array_join(F.transform(F.filter("l", lambda x: F.substring(x, 1, 2).isin(*signs)), lambda x: F.substring(x, F.lit(3), F.length(x))), "\n")
+    hinted = F.forall(F.sequence(F.lit(1), F.size("l")), lambda i: ~F.get("l", i - 1).startswith("? ") | ((i > 1) & F.substring(F.get("l", i - 2), 1, 2).isin("- ", "+ ")))
+    return lines.select("conv_id", "turn", kept(("  ", "- ")).alias("before"), kept(("  ", "+ ")).alias("after"), hinted.alias("hinted"))
+
+
 @query("diff_identity", "select conv_id, turn, 1.0::double as ratio, 0 as lines, 1 as operations from conversations")
 def _(t):
     c = F.col("text")
     return t.conversations.select("conv_id", "turn", diff.ratio(_words(c), _words(c)).alias("ratio"), F.size(diff.diff(c, c, "unified")).alias("lines"), F.size(diff.operations(_words(c), _words(c))).alias("operations"))
 
 
-@query("diff_close_matches")
+_NAMES = "word as (select distinct unnest(string_split(lower(p_name), ' ')) as word from part), asked as (select distinct unnest(string_split(lower(p_type), ' ')) as query from part), x as (select {'q': query, 'w': word} as k, string_split(word, '') as a, string_split(query, '') as b from asked, word)"
+
+
+@query("diff_close_matches", matching(_NAMES, popular=False) + """, rated as (select k.q as query, k.w as word, 2.0::double * (select coalesce(sum(size), 0) from block where block.k = x.k) / (len(a) + len(b)) as ratio from x)
+select query, word, ratio from (select *, row_number() over (partition by query order by ratio desc, word) as n from rated where ratio >= 0.4) where n <= 3""")
 def _(t):
     words = t.part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
     asked = t.part.select(F.explode(F.split(F.lower("p_type"), " ")).alias("asked"))
@@ -94,7 +135,7 @@ def _stream(t):
 
 
 def _ended(t, df, mode="append"):
-    return stream.run_to_end(df, f"s{uuid.uuid4().hex}", mode)
+    return stream.run_to_end(df, mode)
 
 
 @query("stream_flat_map", "select event_id, unnest(string_split(event_type, 'i')) as item from events")
@@ -128,8 +169,8 @@ def _(t):
 @query("stream_where_type", "select event_id, event_id as v from events where event_id % 2 = 0")
 def _(t):
     v = F.when(F.col("event_id") % 2 == 0, F.expr("cast(event_id as variant)")).otherwise(F.expr("cast(event_type as variant)"))
-    tagged = t.events.select("event_id", F.schema_of_variant(v).alias("kind"), v.alias("v"))
-    return stream.where_type(tagged.where("kind = 'BIGINT'"), "v", "bigint").select("event_id", "v")
+    tagged = _stream(t).select("event_id", F.schema_of_variant(v).alias("kind"), v.alias("v"))
+    return _ended(t, stream.where_type(tagged.where("kind = 'BIGINT'"), "v", "bigint").select("event_id", "v"))
 
 
 @query("stream_session_windows", """
@@ -160,6 +201,35 @@ def _(t):
     return out
 
 
+@query("cache_policies", """select 'empty' as policy, count(*) as loads, cast(0 as bigint) as held from nation union all select 'stale', count(*), 0 from nation
+ union all select unnest(['wide', 'delegate', 'fresh']), count(distinct n_regionkey), count(distinct n_regionkey) from nation""")
+def _(t):
+    """Loads of the regions of all nations, asked for in the nations' order, and what each policy holds in the end."""
+    asked = [r[0] for r in t.nation.select("n_regionkey").orderBy("n_nationkey").collect()]  # 25 nations
+    now, rows = iter(range(1000)), []
+
+    def policy(name, make):
+        loads = []
+        cache = make(lambda k: loads.append(k) or k)
+        for k in asked:
+            cache.get(k)
+        cache.reap()
+        rows.append((name, len(loads), cache.size()))
+
+    policy("empty", caching.EmptyCache)
+    policy("wide", lambda load: caching.FifoCache(load, 10))
+    policy("delegate", lambda load: caching.DelegateCache(caching.LruCache(load, 10)))
+    clock = {"t": 0}
+
+    def ticking():
+        clock["t"] += 1
+        return clock["t"]
+
+    policy("stale", lambda load: caching.ExpiryCache(load, update_expiry=0.5, clock=lambda: next(now)))
+    policy("fresh", lambda load: caching.ExpiryCache(load, access_expiry=1e6, clock=ticking))
+    return t.spark.createDataFrame(rows, "policy string, loads long, held long")
+
+
 # -- optional, either, rows ------------------------------------------------------------
 
 

@@ -256,8 +256,11 @@ def _(t):
     return t.events.groupBy("user_id").agg(F.count_if(F.col("value") > 50).alias("above"), F.count_if(F.col("event_type") == "click").alias("clicks"))
 
 
-@query("seq_at_random")
+@query("seq_at_random", "select cast(1 as bigint) as picked, true as member, cast(0 as bigint) as of_none")
 def _(t):
+    """What holds for any draw: one row, of the table; none of an empty table."""
     from tessera.sources.generators import at_random
 
-    return at_random(t.customer.select("c_custkey"), seed=4)
+    keys = t.customer.select("c_custkey")
+    one = at_random(keys, seed=4).join(keys.withColumn("hit", F.lit(True)), "c_custkey", "left")
+    return one.agg(F.count("*").alias("picked"), F.bool_and(F.coalesce("hit", F.lit(False))).alias("member")).crossJoin(at_random(keys.limit(0), seed=4).agg(F.count("*").alias("of_none")))

@@ -68,7 +68,7 @@ def _(t):
     return _docs(t).select("doc_id", text.unwrap(F.col("text")).alias("out"))
 
 
-@query("text_wrap")
+@query("text_wrap", r"""select conv_id, turn, array_to_string([coalesce(list_reduce([w for w in string_split_regex(line, '\s+') if w <> ''], lambda acc, w: acc || case when length(regexp_extract(acc, '[^\n]*$')) + 1 + length(w) > 40 then chr(10) else ' ' end || w), '') for line in string_split(text, chr(10))], chr(10)) as out from conversations""")
 def _(t):
     return t.conversations.select("conv_id", "turn", text.wrap(F.col("text"), 40).alias("out"))
 
@@ -78,9 +78,13 @@ def _(t):
     return _docs(t).select("doc_id", text.normalize(text.normalize(F.col("text"), "NFD"), "NFC").alias("nfc"))
 
 
-@query("text_normal_forms")
+@query("text_normal_forms", "select doc_id, nfc_normalize(text) as nfc, nfc_normalize(text) as nfc_of_nfd, nfc_normalize(lower(text)) as nfc_of_nfkd_lower, true as nfd_settled, true as nfkc_settled, strip_accents(lower(text)) as bare from documents")
 def _(t):
-    return _docs(t).select("doc_id", *[F.length(text.normalize(F.col("text"), f)).alias(f.lower()) for f in ("NFC", "NFD", "NFKC", "NFKD")])
+    """The forms by what holds between them; the texts' letters have no other compatible forms than their own."""
+    c, n = F.col("text"), text.normalize
+    nfd, nfkc = n(c, "NFD"), n(c, "NFKC")
+    bare = F.regexp_replace(n(F.lower(c), "NFD"), r"\p{Mn}+", "")
+    return _docs(t).select("doc_id", n(c, "NFC").alias("nfc"), n(nfd, "NFC").alias("nfc_of_nfd"), n(n(F.lower(c), "NFKD"), "NFC").alias("nfc_of_nfkd_lower"), (n(nfd, "NFD") == nfd).alias("nfd_settled"), (n(nfkc, "NFKC") == nfkc).alias("nfkc_settled"), bare.alias("bare"))
 
 
 @query("text_characters", "select p_partkey, array_to_string(string_split(p_brand, ''), '|') as chars from part")
@@ -145,9 +149,22 @@ def _(t):
     return _docs(t).select("doc_id", cc.script("Latin").count(F.col("text")).alias("latin"), cc.script("Greek").count(F.col("text")).alias("greek"), cc.binary_property("ascii_hex_digit").count(F.col("text")).alias("hexa"), cc.binary_property("white_space").count(F.col("text")).alias("white"))
 
 
-@query("chars_bidi")
+_BIDI = {"l": r"\p{L}", "en": "[0-9]", "ws": r"[ \x0c]", "es": "[+-]", "et": "[#$%]", "cs": "[,./:]", "strong": r"\p{L}", "weak": r"[0-9+#$%,./:\-]", "neutral": r"[ \t\n\x0b-\x0d!\"&'()*;<=>?@\[\\\]^_`{|}~]", "explicit": r"[\x{202A}-\x{202E}]"}
+
+
+@query("chars_bidi", "select doc_id, " + ", ".join(f"cast(len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) as integer) as {n}" for n, p in _BIDI.items()) + " from documents")
+def _(t):
+    names = {n: n if n in cc.BIDI_GROUPS else n.upper() for n in _BIDI}
+    return _docs(t).select("doc_id", *[cc.bidi(b).count(F.col("text")).alias(n) for n, b in names.items()])
+
+
+_PROPERTIES = {"soft_dotted": "[ij]", "sentence_terminal": "[.!?]", "terminal_punctuation": "[!,.:;?]", "pattern_syntax": r"[!-/:-@\[-^`{-~]", "hyphen": "-", "other_math": r"\^", "deprecated": r"\x{E0001}"}
+
+
+@query("chars_properties", "select p_partkey, " + ", ".join(f"cast(len(regexp_extract_all(p_name || p_type || '. a+b=c? x^2; i-j: ok!', '{p}')) as integer) as {n}" for n, p in _PROPERTIES.items()) + " from part")
 def _(t):
-    return _docs(t).select("doc_id", *[cc.bidi(b).count(F.col("text")).alias(b.lower()) for b in ("L", "EN", "WS", "ON")])
+    c = F.concat("p_name", "p_type", F.lit(". a+b=c? x^2; i-j: ok!"))
+    return t.part.select("p_partkey", *[cc.binary_property(n).count(c).alias(n) for n in _PROPERTIES])
 
 
 @query("text_scope_pipe", "select n_regionkey, count(*) as n from nation where n_nationkey > 3 group by 1")

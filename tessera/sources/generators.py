@@ -43,6 +43,13 @@ def range_at(start: Column, step: Column, length: Column, index: Column) -> Colu
     return F.when((index >= 0) & (index < length), start + index * step)
 
 
+def range_sublist(spark: SparkSession, length: int, start: int, step: int, first: int, end: int) -> DataFrame:
+    """The items at places [first, end) of a range of so many items: a range again, nothing is made and dropped."""
+    if not 0 <= first <= end <= length:
+        raise ValueError("need 0 <= first <= end <= length")
+    return range_of_length(spark, end - first, start + first * step, step)
+
+
 def range_contains(start: Column, end: Column, step: int, value: Column) -> Column:
     """Whether value is one of start, start + step, … before end."""
     inside = (value >= start) & (value < end) if step > 0 else (value <= start) & (value > end)

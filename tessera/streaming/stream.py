@@ -6,14 +6,17 @@ micro-batch a key's rows are put in the order of a column first.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.plans.checks import positive
+from tessera.plans.session import shared_folder
 
 
 def session_buffer(stream: DataFrame, time: str, value: str, max_age: str, key: str, watermark: str = "1 minute") -> DataFrame:
@@ -99,11 +102,36 @@ def where_type(stream: DataFrame, variant: str, kind: str) -> DataFrame:
     return stream.withColumn(variant, value).where(F.col(variant).isNotNull())
 
 
+class Tap(StreamingQueryListener):
+    """Calls back as queries begin, go on, idle and end; add it to a session's streams while it is wanted."""
+
+    def __init__(self, on_start=None, on_progress=None, on_idle=None, on_end=None, on_error=None):
+        self._start, self._progress, self._idle, self._end, self._error = on_start, on_progress, on_idle, on_end, on_error
+
+    def onQueryStarted(self, event) -> None:
+        if self._start:
+            self._start(event)
+
+    def onQueryProgress(self, event) -> None:
+        if self._progress:
+            self._progress(event.progress)
+
+    def onQueryIdle(self, event) -> None:
+        if self._idle:
+            self._idle(event)
+
+    def onQueryTerminated(self, event) -> None:
+        call = self._error if event.exception else self._end
+        if call:
+            call(event)
+
+
 def tap(stream: DataFrame, on_batch: Callable[[DataFrame, int], None] | None = None, metrics: dict[str, Column] | None = None, name: str = "tap") -> DataFrame | Callable:
     """Observes a stream without changing it.
 
-    With metrics, the frame reports them to query listeners for each batch; with
-    on_batch, returns the function for ``foreachBatch`` that calls it.
+    With metrics, the frame reports them to query listeners (such as `Tap`) for
+    each batch; with on_batch, returns the function for ``foreachBatch`` that
+    calls it.
     """
     if metrics:
         return stream.observe(name, *[c.alias(k) for k, c in metrics.items()])
@@ -115,9 +143,17 @@ def tap(stream: DataFrame, on_batch: Callable[[DataFrame, int], None] | None = N
     return call
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a bounded stream to its end into a memory table, for tests and small results."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs a bounded stream to its end into Parquet files, by default in the shared folder, and reads them.
+
+    In complete mode each batch takes the place of the one before.
+    """
+    spark = stream.sparkSession
+    at = folder or f"{shared_folder(spark)}/tessera-stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state")
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{at}/rows")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/rows"))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")

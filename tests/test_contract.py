@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import charclass as cc
+from tessera.functions import formatting as fmt
 from tessera.functions import mathx, numbers, temporal, text
 from tessera.functions.temporal import TimeUnit
 from tessera.operators import aggregate, bags, caching, diff, graph, intervals, ordering
@@ -187,7 +188,13 @@ def test_shortest_paths(spark):
     start = spark.createDataFrame([(1,)], "id long")
     paths = graph.shortest_paths(g, start)
     assert {r["id"]: r["cost"] for r in paths.collect()} == {1: 0.0, 3: 1.0, 2: 2.0, 4: 3.0}
-    assert graph.path_to(paths, 4) == [1, 3, 2, 4]
+    ends = spark.createDataFrame([(4,), (3,), (9,)], "id long")
+    assert sorted((r["target"], r["back"], r["id"]) for r in graph.path_to(paths, ends).collect()) == [(3, 0, 3), (3, 1, 1), (4, 0, 4), (4, 1, 2), (4, 2, 3), (4, 3, 1)]
+    even = edges(spark, [(1, 2, 1), (1, 3, 1), (2, 4, 1), (3, 4, 1), (4, 5, 0)])
+    routes = graph.all_paths_to(even, graph.shortest_paths(even, start), spark.createDataFrame([(5,)], "id long"))
+    assert sorted(r["route"] for r in routes.collect()) == [[1, 2, 4, 5], [1, 3, 4, 5]]
+    with pytest.raises(ValueError, match="heuristic"):
+        graph.shortest_paths(g, start, heuristic=F.lit(0.0))
     with pytest.raises(ValueError, match="negative"):
         graph.shortest_paths(edges(spark, [(1, 2, -1)]), start)
     with pytest.raises(ValueError, match="cycle"):
@@ -212,9 +219,92 @@ def test_cycles_and_bipartite(spark):
 
 
 def test_spanning_trees(spark):
-    u = edges(spark, [(1, 2, 2), (1, 4, 1), (2, 4, 2), (4, 3, 3), (8, 9, 1)], directed=False)
-    assert sum(r["value"] for r in graph.spanning_forest(u).collect()) == 7
-    assert {(r["src"], r["dst"]) for r in graph.spanning_tree_from(u, 8).collect()} == {(8, 9)}
+    pairs = [(i, j, (i * 7 + j * 13) % 23 + 1) for i in range(9) for j in range(i) if (i + j) % 3]
+    label, total = list(range(9)), 0
+    for a, b, w in sorted(pairs, key=lambda p: p[2]):  # plainly, the cheapest first
+        if label[a] != label[b]:
+            old, new = label[a], label[b]
+            label, total = [new if x == old else x for x in label], total + w
+    u = edges(spark, [*pairs, (20, 21, 5)], directed=False)
+    assert sum(r["value"] for r in graph.spanning_forest(u).collect()) == total + 5
+    assert {(r["src"], r["dst"]) for r in graph.spanning_tree_from(u, 21).collect()} == {(20, 21)}
+
+
+def test_cuts_flows_and_cliques_against_every_subset(spark):
+    rng = random.Random(5)
+    pairs = [(i, j, rng.randint(1, 9)) for i in range(7) for j in range(7) if i != j and rng.random() < 0.5]
+    cuts = [[v for v in range(7) if m >> v & 1] for m in range(1 << 7)]
+    crossing = lambda side: sum(w for a, b, w in pairs if a in side and b not in side)
+    assert graph.max_flow(edges(spark, pairs), 0, 6) == min(crossing(s) for s in cuts if 0 in s and 6 not in s)
+    flat = {}
+    for a, b, w in pairs:
+        flat[min(a, b), max(a, b)] = w
+    both = [(a, b, w) for (a, b), w in flat.items()]
+    cut = graph.min_cut(edges(spark, both, directed=False)).collect()[0]
+    weight = lambda side: sum(w for a, b, w in both if (a in side) != (b in side))
+    assert cut["weight"] == min(map(weight, cuts[1:-1])) == weight(cut["side"]) and 0 not in cut["side"]
+    full = [s for s in cuts[1:] if all((a, b) in flat for a in s for b in s if a < b)]
+    assert sorted(r["members"] for r in graph.cliques(edges(spark, both, directed=False)).collect()) == sorted(s for s in full if not any(set(s) < set(o) for o in full))
+
+
+def test_strong_components_against_reachability(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(30), rng.randrange(30), 1) for _ in range(45)]
+    reach = {v: {v} for v in range(30)}
+    for _ in range(30):
+        for a, b, _w in pairs:
+            for r in reach.values():
+                if a in r:
+                    r.add(b)
+    want = {v: min(o for o in reach[v] if v in reach[o]) for v in range(30)}
+    got = {r["id"]: r["component"] for r in graph.strongly_connected(edges(spark, pairs, vertices=range(30))).collect()}
+    assert got == want
+
+
+def test_dot(spark):
+    g = edges(spark, [(10, 20, 3), (20, 30, 4)])
+    assert g.to_dot("x") == 'digraph x {\n  0 [label="10"];\n  1 [label="20"];\n  2 [label="30"];\n  0 -> 1 [label="3"];\n  1 -> 2 [label="4"];\n}'
+    with pytest.raises(ValueError, match="write_dot"):
+        g.to_dot(most=3)
+
+
+def test_intervals_of_very_different_lengths(spark):
+    rng = random.Random(3)
+    spans = [(i, a := rng.uniform(-500, 500), a + rng.choice([0.0, 0.5, 3.0, 80.0, 2000.0])) for i in range(150)]
+    left = spark.createDataFrame(spans, "i long, a double, b double")
+    right = spark.createDataFrame(spans, "j long, c double, d double")
+    got = sorted((r["i"], r["j"]) for r in intervals.overlap_join(left, right, ("a", "b"), ("c", "d")).collect())
+    assert got == sorted((i, j) for i, a, b in spans for j, c, d in spans if a <= d and c <= b)
+    points = spark.createDataFrame([(i, a) for i, a, _ in spans], "p long, x double")
+    hit = sorted((r["p"], r["i"]) for r in intervals.stab_join(points, left, "x", "a", "b").collect())
+    assert hit == sorted((p, i) for p, x, _ in spans for i, a, b in spans if a <= x <= b)
+
+
+def test_prime_factors_of_large_numbers(spark):
+    numbers = [1, 2, 97, 2**61 - 1, 4294967291 * 2147483647, 999999937 * 999999937 // 1, 2**62, 600851475143, 3 * 3 * 3037000493 * 11]
+    got = {r["n"]: r["factors"] for r in mathx.prime_factors(spark.createDataFrame([(n,) for n in numbers], "n long"), "n").collect()}
+    for n in numbers:
+        assert math.prod(got[n]) == n and got[n] == sorted(got[n]) and all(mathx._prime(p) for p in got[n])
+    assert got[2**61 - 1] == [2**61 - 1] and got[4294967291 * 2147483647] == [2147483647, 4294967291]
+
+
+def test_numerals_and_properties(spark):
+    assert len(fmt.NUMERALS) >= 68 and fmt.NUMERALS["thai"] == 0xE50 and fmt.NUMERALS["devanagari"] == 0x966
+    got = one(spark, cc.binary_property("diacritic").count(F.lit("a^`x")).alias("d"), cc.bidi("strong").count(F.lit("aא1")).alias("s"), cc.binary_property("unified_ideograph").count(F.lit("漢a")).alias("u"))
+    assert tuple(got) == (2, 2, 1)
+    with pytest.raises(ValueError):
+        cc.binary_property("no such thing")
+
+
+def test_close_matches_against_every_pair(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abcde", k=rng.randint(0, 7))) for _ in range(60)})
+    asked = words[::5] + ["", "abcabc"]
+    for cutoff in (0.0, 0.3, 0.6, 1.0):
+        got = {(r["query"], r["word"]) for r in diff.close_matches(spark.createDataFrame([(w,) for w in words], "w string"), spark.createDataFrame([(q,) for q in asked], "q string"), "w", "q", 1000, cutoff).collect()}
+        assert got == {(q, w) for q in asked for w in words if SequenceMatcher(None, w, q).ratio() >= cutoff}
 
 
 # -- differences, caches, streams ---------------------------------------------------------
@@ -251,9 +341,9 @@ def test_stream_windows_and_buffers(spark, tmp_path):
     rows = spark.createDataFrame([("a" if i % 2 else "b", i, i * 10) for i in range(11)], "k string, ts long, v long")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    got = stream.run_to_end(stream.window(source(), "k", "ts", "v", 2, 2), "windows")
+    got = stream.run_to_end(stream.window(source(), "k", "ts", "v", 2, 2))
     assert sorted((r["k"], r["start"], tuple(r["items"])) for r in got.collect()) == [("a", 0, (10, 30)), ("a", 2, (50, 70)), ("b", 0, (0, 20)), ("b", 2, (40, 60)), ("b", 4, (80, 100))]
-    got = stream.run_to_end(stream.buffer(source(), "k", "ts", "v", 3), "buffers")
+    got = stream.run_to_end(stream.buffer(source(), "k", "ts", "v", 3))
     assert sorted((r["k"], tuple(r["items"])) for r in got.collect()) == [("a", (10, 30, 50)), ("b", (0, 20, 40)), ("b", (60, 80, 100))]
 
 
