@@ -172,6 +172,10 @@ def _bidi_runs() -> list[tuple[int, int, str]]:
     return out
 
 
+#: The end of the Latin blocks.
+_NEAR = 0x24F
+
+
 def _items(spans) -> str:
     """Class items of spans (first, last) of code points in rising order, touching ones joined."""
     joined: list[tuple[int, int]] = []
@@ -180,7 +184,13 @@ def _items(spans) -> str:
             joined[-1] = (joined[-1][0], b)
         else:
             joined.append((a, b))
-    return "".join(_quoted(a) if a == b else f"{_quoted(a)}-{_quoted(b)}" for a, b in joined)
+    show = lambda part: "".join(_quoted(a) if a == b else f"{_quoted(a)}-{_quoted(b)}" for a, b in part)
+    if len(joined) < 20:
+        return show(joined)
+    # Java tries span after span: the many far ones only where a character is past the near ones.
+    near = [(a, min(b, _NEAR)) for a, b in joined if a <= _NEAR]
+    far = [(max(a, _NEAR + 1), b) for a, b in joined if b > _NEAR]
+    return show(near) + (f"[[^\\x{{0}}-{_quoted(_NEAR)}]&&[{show(far)}]]" if far else "")
 
 
 #: Groups of bidirectional classes.
