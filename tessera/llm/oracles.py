@@ -22,4 +22,14 @@ m as (select w.doc_id, len(ws) as n_words, coalesce(list_sum([length(x) for x in
 f as (select *, case when n_words < 10 then 1 else 0 end + case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end + case when 10 * n_symbols > n_words then 4 else 0 end + case when 10 * n_dup_lines > 3 * n_lines then 8 else 0 end
  + case when 2 * n_upper > n_letters then 16 else 0 end + case when word_chars > 20 * n_words or word_chars < 2 * n_words then 32 else 0 end + case when n_words >= 10 and 3 * n_top > n_words then 64 else 0 end as failed from m)
 select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, cast(failed as bigint) as failed from f""",
+    "op7_minhash_near_dedup": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+each as (select distinct doc_id, unnest(case when len(w) >= 5 then [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+sets as (select doc_id, count(*) as n from each group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from each a join each b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+pairs as (select a, b from common join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+links as (select a, b from pairs union all select b, a from pairs),
+reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join links l on r.b = l.a),
+comp as (select a, min(b) as c from reach group by 1)
+select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id, d.doc_id = c as kept from d join comp on comp.a = d.doc_id left join sets on sets.doc_id = d.doc_id""",
 }

@@ -66,7 +66,7 @@ def op6_quality_classifier(spark, sf_dir):
 def op7_minhash_near_dedup(spark, sf_dir):
     from tessera.llm.minhash import near_documents
 
-    return near_documents(_table(spark, sf_dir, "documents"))
+    return near_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_toxicity(spark, sf_dir):
