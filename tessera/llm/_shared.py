@@ -132,8 +132,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[S
         for batch in batches:
             if step is None:
                 step = make()
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
                 out = step([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, target)], schema=target)
 
@@ -148,7 +148,7 @@ class WordHashes(dict):
 
         h = xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= 150_000:
                 self.clear()
             self[word] = h
         return h

@@ -19,7 +19,7 @@ from tessera.llm._shared import by_place, crc_mod, hash_fraction, map_rows, pick
 #: Training rows that the fit sees at most, in expectation: in a language, and in all.
 PER_LANGUAGE, IN_ALL = 300, 3000
 ROUNDS = 3
-CACHE_ENTRIES, CACHE_BYTES = 400_000, 1 << 26
+CACHE_ENTRIES, CACHE_BYTES = 150_000, 1 << 25
 FLOOR = 1e-9
 #: Letters up to which a word's probability surely stays above the smallest number; longer words are rescaled at each letter.
 UNSCALED = 24
@@ -296,8 +296,9 @@ def confident(docs: DataFrame, model: Model, sure: float) -> DataFrame:
 
         scorer = Scorer(shared.value)
         for batch in batches:
-            lang, score = scorer([t.encode() if t is not None else None for t in batch.column(place).to_pylist()])
-            keep = [one != "und" and s >= sure for one, s in zip(lang, score)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for start in range(0, batch.num_rows, 500):  # few texts at a time as Python's own
+                part = batch.slice(start, 500)
+                lang, score = scorer(part.column(place).cast(pa.binary()).to_pylist())
+                yield part.filter(pa.array([one != "und" and s >= sure for one, s in zip(lang, score)], pa.bool_()))
 
     return placed.mapInArrow(run, placed.schema).select(*back)

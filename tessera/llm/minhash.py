@@ -327,10 +327,11 @@ def _all_apart(held: dict, percent: int):
         x, y = x[ok], y[ok]
         ok = np.count_nonzero(sig[x] != sig[y], axis=1) <= MOST_DIFFERENT
         x, y = x[ok], y[ok]
-        if len(x):
-            first = (own[x] == own[y]).argmax(axis=1)
-            ok = own[x, first] == key[x]
-            for a, b in zip(x[ok].tolist(), y[ok].tolist()):
+        for k in range(0, len(x), PAIRS // 20):  # a pair's keys take 60 times its other numbers
+            u, v = x[k : k + PAIRS // 20], y[k : k + PAIRS // 20]
+            first = (own[u] == own[v]).argmax(axis=1)
+            ok = own[u, first] == key[u]
+            for a, b in zip(u[ok].tolist(), v[ok].tolist()):
                 if can_reach(as_number(a), 8 * len(held["s"][order[a]]), int(n[a]), as_number(b), 8 * len(held["s"][order[b]]), int(n[b]), percent):
                     yield int(ids[a]), int(ids[b])
 
