@@ -185,9 +185,9 @@ def _(t):
     return _fr(t).where("x.a > 0").select("p_partkey", n.fr_to_double(n.fr_mul(x, n.fr_recip(x))).alias("one"), F.when(F.isnan(over), "nan").when(over > 0, "inf").otherwise("-inf").alias("over_zero"), n.fr_truncate(n.fr_pow(n.fr(n.fr_truncate(n.fr_mul(x, n.fr(F.lit(12))))), 3)).alias("cube"), n.fr_text(n.fr_parse(F.lit(" 6 / 8"))).alias("parsed"))
 
 
-@query("fraction_from_double", "with d as (select distinct l_discount as d from lineitem) select d, cast(cast(round(d * 100) as bigint) // gcd(cast(round(d * 100) as bigint), 100) as varchar) || '/' || cast(100 // gcd(cast(round(d * 100) as bigint), 100) as varchar) as f from d where d > 0")
+@query("fraction_from_double", "with d as (select distinct l_discount as d from lineitem) select d, cast(cast(round(d * 100) as bigint) // gcd(cast(round(d * 100) as bigint), 100) as varchar) || case when gcd(cast(round(d * 100) as bigint), 100) = 100 then '' else '/' || cast(100 // gcd(cast(round(d * 100) as bigint), 100) as varchar) end as f from d")
 def _(t):
-    d = t.lineitem.select(F.col("l_discount").alias("d")).distinct().where("d > 0")
+    d = t.lineitem.select(F.col("l_discount").alias("d")).distinct()
     return d.select("d", numbers.fr_text(numbers.fr_from_double(F.col("d"), 100000, 1e-9)).alias("f"))
 
 
