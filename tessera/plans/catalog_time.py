@@ -66,8 +66,8 @@ def _(t):
 def _(t):
     name = F.col("c_name")
     row = F.struct("c_acctbal", "c_name")
-    trunc = lambda c: (F.signum(c["c_acctbal"]) * F.floor(F.abs(c["c_acctbal"]) + 0.5)).cast("long").cast("string")
-    switched = fmt.switcher([(lambda c: c["c_acctbal"] < 0, fmt.before(trunc, "debt ")), (lambda c: c["c_acctbal"] > 5000, fmt.literal("rich"))], fmt.around(lambda c: c["c_name"], "<", ">"))
+    whole = lambda c: F.rint(c["c_acctbal"]).cast("long").cast("string")  # noqa: E731 (ties to even, as the SQL's cast)
+    switched = fmt.switcher([(lambda c: c["c_acctbal"] < 0, fmt.before(whole, "debt ")), (lambda c: c["c_acctbal"] > 5000, fmt.literal("rich"))], fmt.around(lambda c: c["c_name"], "<", ">"))
     return t.customer.select("c_custkey", switched(row).alias("switched"), fmt.where(fmt.standard(), lambda c: F.col("c_custkey") % 2 == 0)(name).alias("filtered"), fmt.if_null(fmt.standard())(F.when(F.col("c_custkey") % 3 != 0, name)).alias("shown"), fmt.sequence(fmt.literal("n="), fmt.after(fmt.on_result_of(fmt.standard(), F.length), "!"))(name).alias("derived"))
 
 

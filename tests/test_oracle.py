@@ -40,3 +40,24 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_other_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def agrees(spark, folder, name, **tables):
+    """A query against its SQL on tables of our own, given as SQL."""
+    con = duckdb.connect()
+    for t, made in tables.items():
+        con.execute(f"copy ({made}) to '{folder}/{t}.parquet'")
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    df = catalog.QUERIES[name](spark, str(folder))
+    found = con.execute(catalog.SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(tuple(shown(r[c]) for c in names) for r in df.collect()) == sorted(tuple(map(shown, row)) for row in found.fetchall())
+
+
+def customers(*balances):
+    return f"select i - 1 as c_custkey, 'Customer#' || i as c_name, b as c_acctbal from (select unnest([{', '.join(f'{b!r}::double' for b in balances)}]) as b, generate_subscripts([{', '.join('0' for _ in balances)}], 1) as i)"
+
+
+def test_format_combinators_rounds_ties_to_even(spark, tmp_path):
+    agrees(spark, tmp_path, "format_combinators", customer=customers(-330.5, -331.5, -0.5, -1.5, -0.49999999999999994, -0.4, -4503599627370497.0, -0.0, 0.5, 5000.0, 5000.01))
