@@ -176,7 +176,10 @@ def numerals(s: Column, system: str) -> Column:
 
 
 def fixed(x: Column, precision: int = 0, base: int = 10, padding: int = 0, separator: str = "", width: int = 3, positive: str = "", accuracy: float | None = None, delimiter: str = ".", nan: str = "NaN", infinity: str = "Infinity") -> Column:
-    """Fixed point, rounded half away from zero; grouped by ``separator`` every ``width`` digits."""
+    """Fixed point, rounded half away from zero; grouped by ``separator`` every ``width`` digits.
+
+    The sign is the number's own before it is rounded, that of negative zero too.
+    """
     value = x.cast("double")
     if accuracy is not None:
         value = F.signum(value) * F.floor(F.abs(value) / accuracy + 0.5) * accuracy
@@ -190,7 +193,8 @@ def fixed(x: Column, precision: int = 0, base: int = 10, padding: int = 0, separ
     digits = pad_left(show(whole), padding, "0") if padding else show(whole)
     digits = separate_right(digits, width, 0, separator) if separator else digits
     tail = F.concat(F.lit(delimiter), pad_left(show(part), precision, "0")) if precision else F.lit("")
-    text = F.concat(sign(F.when(finite, F.when(scaled == 0, F.lit(0.0)).otherwise(value)).otherwise(F.lit(0.0)), "-", positive), digits, tail)
+    below = (value < 0) | ((value == 0) & F.startswith(value.cast("string"), F.lit("-")))
+    text = F.concat(F.when(below, F.lit("-")).otherwise(F.lit(positive)), digits, tail)
     return F.when(F.isnan(value), F.lit(nan)).when(value == F.lit(float("inf")), F.lit(positive + infinity)).when(value == F.lit(float("-inf")), F.lit("-" + infinity)).otherwise(text)
 
 
@@ -239,7 +243,7 @@ def human(x: Column, unit: str = "", precision: int = 1, binary: bool = False, u
         suffix = f"{separator}{name}{unit}" if name or unit else ""
         made = F.concat(text, F.lit(suffix))
         out = made if out is None else F.when(size >= base**k, made).otherwise(out)
-    plain = F.concat(fixed(value, unit_precision), F.lit(f"{separator}{unit}" if unit else ""))
+    plain = F.concat(fixed(size, unit_precision), F.lit(f"{separator}{unit}" if unit else ""))
     return F.when(size == 0, plain).otherwise(out)
 
 

@@ -353,3 +353,9 @@ def test_strong_components_are_whole_or_an_error(spark):
     with pytest.raises(RuntimeError):
         graph.strongly_connected(ring, most=3)
     assert graph.strongly_connected(graph.empty(spark, 0)).count() == 0
+
+
+def test_fixed_keeps_the_sign_of_what_rounds_to_zero(spark):
+    f = lambda x, *a, **k: fmt.fixed(F.lit(x), *a, **k)
+    got = one(spark, f(-0.001, 2).alias("a"), f(-0.0, 1).alias("b"), f(0.0, 1, positive="+").alias("c"), f(-8e-8).alias("d"), f(-0.01, accuracy=0.05, precision=2).alias("e"), fmt.human(F.lit(-0.0), "B").alias("f"))
+    assert tuple(got) == ("-0.00", "-0.0", "+0.0", "-0", "-0.00", "0 B")

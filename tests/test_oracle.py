@@ -61,3 +61,7 @@ def customers(*balances):
 
 def test_format_combinators_rounds_ties_to_even(spark, tmp_path):
     agrees(spark, tmp_path, "format_combinators", customer=customers(-330.5, -331.5, -0.5, -1.5, -0.49999999999999994, -0.4, -4503599627370497.0, -0.0, 0.5, 5000.0, 5000.01))
+
+
+def test_format_fixed_keeps_the_sign_of_negative_zero(spark, tmp_path):
+    agrees(spark, tmp_path, "format_fixed", customer=customers(-0.0, 0.0, -0.01, -0.04, -0.05, 0.04, 0.05, 12.25, -12.25, -999.99, 9999.99))
