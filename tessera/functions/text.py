@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.plans.checks import non_negative, positive
 from tessera.plans.expr import let
@@ -195,16 +199,49 @@ def wrap(s: Column, width: int, break_long: bool = True) -> Column:
     return _wrap(s, F.lit(positive(width, "width")), F.lit(break_long))
 
 
-def normalize(s: Column, form: str = "NFC") -> Column:
-    """A Unicode normal form; ASCII texts never leave the JVM."""
-    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
-        raise ValueError(f"no normal form {form!r}")
+#: Texts of an Arrow batch that are Python strings at once.
+AT_ONCE = 64
 
-    @F.pandas_udf(T.StringType())
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: unicodedata.normalize(form, v), na_action="ignore")
 
-    return F.when(s.rlike(r"^\p{ASCII}*\z"), s).otherwise(run(s))
+def _by_text(work: Callable[[str], object], made: T.DataType):
+    """A function of texts on Arrow arrays. A batch has 10,000 texts of any length, so only a few leave Arrow at a time."""
+    kind = to_arrow_type(made)
+
+    @F.arrow_udf(made)
+    def run(x: pa.Array) -> pa.Array:
+        parts = [pa.array([None if v is None else work(v) for v in x.slice(k, AT_ONCE).to_pylist()], kind) for k in range(0, len(x), AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return run
+
+
+def _ascii(s: Column) -> Column:
+    return F.octet_length(s) == F.length(s)
+
+
+def _form(name: str) -> str:
+    if name not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"no normal form {name!r}")
+    return name
+
+
+def normalize(s: Column, form: str = "NFC", *then: str) -> Column:
+    """A Unicode normal form, and others of it in the same pass; ASCII texts never leave the JVM."""
+    forms = [_form(f) for f in (form, *then)]
+    run = _by_text(lambda v: reduce(lambda now, f: unicodedata.normalize(f, now), forms, v), T.StringType())
+    return F.when(_ascii(s), s).otherwise(run(F.when(~_ascii(s), s)))
+
+
+def normal_form_settled(s: Column, form: str = "NFC") -> Column:
+    """Whether a text's normal form is its own normal form; neither form leaves the Python worker."""
+    form = _form(form)
+
+    def settled(v: str) -> bool:
+        once = unicodedata.normalize(form, v)
+        return unicodedata.normalize(form, once) == once
+
+    run = _by_text(settled, T.BooleanType())
+    return F.when(_ascii(s), F.lit(True)).otherwise(run(F.when(~_ascii(s), s)))
 
 
 def with_prefix(key: Column, prefix: str) -> Column:

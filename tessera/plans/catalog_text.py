@@ -81,10 +81,9 @@ def _(t):
 @query("text_normal_forms", "select doc_id, nfc_normalize(text) as nfc, nfc_normalize(text) as nfc_of_nfd, nfc_normalize(lower(text)) as nfc_of_nfkd_lower, true as nfd_settled, true as nfkc_settled, strip_accents(lower(text)) as bare from documents")
 def _(t):
     """The forms by what holds between them; the texts' letters have no other compatible forms than their own."""
-    c, n = F.col("text"), text.normalize
-    nfd, nfkc = n(c, "NFD"), n(c, "NFKC")
+    c, n, settled = F.col("text"), text.normalize, text.normal_form_settled
     bare = F.regexp_replace(n(F.lower(c), "NFD"), r"\p{Mn}+", "")
-    return _docs(t).select("doc_id", n(c, "NFC").alias("nfc"), n(nfd, "NFC").alias("nfc_of_nfd"), n(n(F.lower(c), "NFKD"), "NFC").alias("nfc_of_nfkd_lower"), (n(nfd, "NFD") == nfd).alias("nfd_settled"), (n(nfkc, "NFKC") == nfkc).alias("nfkc_settled"), bare.alias("bare"))
+    return _docs(t).select("doc_id", n(c, "NFC").alias("nfc"), n(c, "NFD", "NFC").alias("nfc_of_nfd"), n(F.lower(c), "NFKD", "NFC").alias("nfc_of_nfkd_lower"), settled(c, "NFD").alias("nfd_settled"), settled(c, "NFKC").alias("nfkc_settled"), bare.alias("bare"))
 
 
 @query("text_characters", "select p_partkey, array_to_string(string_split(p_brand, ''), '|') as chars from part")

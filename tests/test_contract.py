@@ -359,3 +359,25 @@ def test_fixed_keeps_the_sign_of_what_rounds_to_zero(spark):
     f = lambda x, *a, **k: fmt.fixed(F.lit(x), *a, **k)
     got = one(spark, f(-0.001, 2).alias("a"), f(-0.0, 1).alias("b"), f(0.0, 1, positive="+").alias("c"), f(-8e-8).alias("d"), f(-0.01, accuracy=0.05, precision=2).alias("e"), fmt.human(F.lit(-0.0), "B").alias("f"))
     assert tuple(got) == ("-0.00", "-0.0", "+0.0", "-0", "-0.00", "0 B")
+
+
+def test_normal_forms_in_one_pass(spark):
+    import unicodedata
+
+    texts = [None, "", "plain", "é", "é", "ﬁ", "Ạ̊", "Å", "한글", "한", "𝔸", "İ", "K"] * 11
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string").repartition(1)
+    n, c = text.normalize, F.col("s")
+    df = df.select("id", n(c).alias("a"), n(c, "NFD", "NFC").alias("b"), n(F.lower(c), "NFKD", "NFC").alias("k"), text.normal_form_settled(c, "NFKC").alias("t"))
+    u = unicodedata.normalize
+    got = sorted(tuple(r) for r in df.collect())
+    lower = [None if s is None else r[0] for s, r in zip(texts, spark.createDataFrame(list(enumerate(texts)), "id long, s string").repartition(1).orderBy("id").select(F.lower("s")).collect())]
+    assert got == [(i, *((None,) * 4 if s is None else (u("NFC", s), u("NFC", u("NFD", s)), u("NFC", u("NFKD", lo)), True))) for i, (s, lo) in enumerate(zip(texts, lower))]
+    with pytest.raises(ValueError):
+        n(c, "NFC", "NFX")
+
+
+def test_text_normal_forms_sends_texts_to_python_once(spark):
+    from tessera.plans import catalog
+
+    plan = catalog.QUERIES["text_normal_forms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
