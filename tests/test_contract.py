@@ -381,3 +381,18 @@ def test_text_normal_forms_sends_texts_to_python_once(spark):
 
     plan = catalog.QUERIES["text_normal_forms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_stab_join_shuffles_no_points_for_few_intervals(spark, monkeypatch):
+    rng = random.Random(8)
+    spans = [(i, a := rng.uniform(0, 5), a + rng.choice([0.0, 20.0, 20.0, 900.0])) for i in range(60)] + [(60, 5.0, 4.0), (61, None, 3.0)]
+    places = [rng.uniform(-50, 950) for _ in range(300)] + [a for _, a, _ in spans[:20]] + [None, float("nan"), 1e300]
+    s = spark.createDataFrame(spans, "i long, a double, b double")
+    p = spark.createDataFrame(list(enumerate(places)), "p long, x double").repartition(3)
+    want = sorted((k, i) for k, x in enumerate(places) if x is not None for i, a, b in spans if a is not None and a <= x <= b)
+    for most in (100_000, 0):
+        monkeypatch.setattr(intervals, "SENT_INTERVALS", most)
+        got = intervals.stab_join(p, s, "x", "a", "b")
+        assert sorted((r["p"], r["i"]) for r in got.collect()) == want
+        assert ("strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()) == bool(most)
+        assert intervals.stab_join(p, s.limit(0), "x", "a", "b").count() == 0
