@@ -396,3 +396,30 @@ def test_stab_join_shuffles_no_points_for_few_intervals(spark, monkeypatch):
         assert sorted((r["p"], r["i"]) for r in got.collect()) == want
         assert ("strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()) == bool(most)
         assert intervals.stab_join(p, s.limit(0), "x", "a", "b").count() == 0
+
+
+def test_stab_join_of_deep_intervals_makes_small_files(spark, tmp_path):
+    rows = spark.range(30_000).select(F.col("id").alias("i"), (F.col("id") % 20).cast("double").alias("a")).withColumn("b", F.col("a") + 500 + F.col("i") % 2)
+    far = spark.createDataFrame([(30_000, -1e9, -1e9 + 400.0)], "i long, a double, b double")  # one alone, far away
+    p = spark.range(40).select(F.col("id").alias("p"), (F.col("id") * 15.0).alias("x")).repartition(2)
+    out = str(tmp_path / "out")
+    intervals.stab_join(p, rows.unionByName(far), "x", "a", "b").select("p", "i").write.parquet(out)
+    got = spark.read.parquet(out).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("i").alias("d"), F.sum("i").alias("s")).collect()
+    want = {k: [i for i in range(30_000) if i % 20 <= 15 * k <= i % 20 + 500 + i % 2] for k in range(40)}
+    assert {r["p"]: (r["n"], r["d"], r["s"]) for r in got} == {k: (len(v), len(v), sum(v)) for k, v in want.items() if v}
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < sum(map(len, want.values()))  # less than a byte a row
+
+
+def test_stab_join_in_blocks_keeps_every_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    spans = [(i, a := rng.choice([0.0, rng.uniform(-30, 30)]), a + rng.choice([0.0, 3.0, 20.0, 900.0])) for i in range(90)] + [(90, 5.0, 4.0), (91, None, 3.0), (92, 2.0, None)]
+    places = [rng.uniform(-50, 950) for _ in range(200)] + [a for _, a, _ in spans[:20]] + [None, float("nan"), 1e300, 0.0, 0.0]
+    s, p = spark.createDataFrame(spans, "i long, a double, b double"), spark.createDataFrame(list(enumerate(places)), "p long, x double").repartition(3)
+    want = sorted((k, i) for k, x in enumerate(places) if x is not None for i, a, b in spans if a is not None and b is not None and a <= x <= b)
+    monkeypatch.setattr(intervals, "DEEP", -1)
+    for block, tasks in ((1, 64), (7, 2), (256, 64)):
+        monkeypatch.setattr(intervals, "BLOCK", block)
+        monkeypatch.setattr(intervals, "BLOCK_TASKS", tasks)
+        got = intervals.stab_join(p, s, "x", "a", "b")
+        assert got.columns == ["p", "x", "i", "a", "b"] and sorted((r["p"], r["i"]) for r in got.collect()) == want
+    assert intervals.stab_join(p, s.limit(0), "x", "a", "b").count() == 0
